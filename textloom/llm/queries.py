@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, substring_dedup
+from textloom.llm import bpe, exact_dedup, jaccard_join, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -35,6 +35,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal word sequences and their links of Jaccard similarity 0.8 on five words."""
+    return jaccard_join.join(documents(spark, sf_dir), size=5, threshold=0.8)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words that a smaller doc_id holds, removed."""
     found = substring_dedup.repeats(documents(spark, sf_dir))
@@ -44,6 +49,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
