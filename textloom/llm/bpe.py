@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from textloom.llm.kernels import _BYTE, ranges_hash, slabs, text_buffers
 
 #: Words that a worker keeps encoded; beyond it the store starts anew (it only saves time).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Bytes of text that one replay covers.
-PORTION_BYTES = 12 << 20
+PORTION_BYTES = 6 << 20
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
 _SHIFT = 20
 

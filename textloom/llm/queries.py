@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, pii, substring_dedup
+from textloom.llm import bpe, exact_dedup, jaccard_join, pii, quality, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -59,6 +59,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels that are not held out."""
+    return quality.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words that a smaller doc_id holds, removed."""
     found = substring_dedup.repeats(documents(spark, sf_dir))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
