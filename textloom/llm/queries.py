@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, pii, quality, substring_dedup
+from textloom.llm import bpe, exact_dedup, jaccard_join, pii, quality, substring_dedup, token_counts
 
+#: End-of-document identifier, free in the rank file.
+SEPARATOR = 50256
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -17,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files between separators."""
+    return token_counts.count_documents(documents(spark, sf_dir), TOKENIZER, SEPARATOR)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests."""
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER).drop("text")
@@ -71,6 +78,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
