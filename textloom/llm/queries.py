@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, pii, quality, substring_dedup, token_counts
+from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, pii, quality, substring_dedup, token_counts, vector_join
 
 #: End-of-document identifier, free in the rank file.
 SEPARATOR = 50256
@@ -83,6 +83,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 between all embeddings, and their components."""
+    return vector_join.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_vector_join": op10_vector_join,
 }
 
 ORACLE: dict[str, str] = {
