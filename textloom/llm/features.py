@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.kernels import Words, slabs, split_words
 
@@ -92,58 +93,112 @@ def word_buckets(words: Words, hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
-def extract(df: DataFrame, chosen: np.ndarray | None = None) -> DataFrame:
-    """Per row of ``df`` (id, text): id, words, x (features), and with ``chosen`` (word buckets) one
-    0/1 feature more for each of them."""
+def matrix(texts: pa.Array, place: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word counts and features of texts; ``place`` leads from word buckets to the last ``extra`` ones."""
+    words = split_words(texts)
+    hashes = words.hashes()
+    x = dense(words, hashes)
+    if extra:
+        at = place[word_buckets(words, hashes)]
+        has = np.zeros((len(x), extra))
+        has[words.doc_of[at >= 0], at[at >= 0]] = 1
+        x = np.concatenate([x, has], axis=1)
+    return np.diff(words.first), x
+
+
+def places(chosen: np.ndarray | None) -> tuple[np.ndarray, int]:
     place = np.full(BUCKETS, -1, np.int64)
-    if chosen is not None:
-        place[chosen] = np.arange(len(chosen))
-    extra = 0 if chosen is None else len(chosen)
+    if chosen is None:
+        return place, 0
+    place[chosen] = np.arange(len(chosen))
+    return place, len(chosen)
+
+
+def apply(
+    df: DataFrame,
+    text_col: str,
+    name: str,
+    kind: T.DataType,
+    function: Callable[[np.ndarray, np.ndarray], pa.Array],
+    chosen: np.ndarray | None = None,
+) -> DataFrame:
+    """``df`` with the column ``name``: function(word counts, features) of each slab of texts. A column of
+    that name is replaced; all others are kept."""
+    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    keep = [f.name for f in schema.fields[:-1]]
+    place, extra = places(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slab in slabs(batch, "text"):
-                words = split_words(slab.column("text"))
-                hashes = words.hashes()
-                x = dense(words, hashes)
-                if extra:
-                    at = place[word_buckets(words, hashes)]
-                    has = np.zeros((len(x), extra))
-                    has[words.doc_of[at >= 0], at[at >= 0]] = 1
-                    x = np.concatenate([x, has], axis=1)
-                counts = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
-                rows = pa.ListArray.from_arrays(pa.array(counts), pa.array(x.astype(np.float32).ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [slab.column("id"), pa.array(np.diff(words.first).astype(np.int64)), rows], ["id", "words", "x"]
-                )
-
-    return df.select("id", "text").mapInArrow(run, "id long, words long, x array<float>")
+            for slab in slabs(batch, text_col):
+                column = function(*matrix(slab.column(text_col), place, extra))
+                yield pa.RecordBatch.from_arrays([*(slab.column(k) for k in keep), column], [*keep, name])
 
+    return df.mapInArrow(run, schema)
 
-def presence(df: DataFrame, known: dict[int, int], n_classes: int) -> np.ndarray:
-    """Over the rows of ``df`` whose id is in ``known`` (id -> class, of bounded size): how many texts
-    of each class have a word of each bucket. BUCKETS x n_classes counts."""
+
+def lists(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as an array column."""
+    at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def extract(df: DataFrame, text_col: str = "text", name: str = "x") -> DataFrame:
+    """``df`` with the dense features as an array of float."""
+    return apply(df, text_col, name, T.ArrayType(T.FloatType()), lambda words, x: lists(x.astype(np.float32)))
+
+
+def of_known(df: DataFrame, known: dict[int, int], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and classes of the rows of ``df`` (id, text) whose id is in ``known`` (of bounded size)."""
+    place, extra = places(chosen)
+    ids, kinds = _sorted(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own, kind in _labelled(batches, ids, kinds):
+            _, x = matrix(batch.column("text"), place, extra)
+            rows = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(kind), rows], ["id", "kind", "x"])
+
+    rows = df.select("id", "text").mapInArrow(run, "id long, kind long, x binary").collect()
+    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64)
+    return x, np.array([r["kind"] for r in rows], np.int64)
+
+
+def _sorted(known: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     ids = np.array(sorted(known), np.int64)
-    kinds = np.array([known[i] for i in ids.tolist()], np.int64)
+    return ids, np.array([known[i] for i in ids.tolist()], np.int64)
+
+
+def _labelled(
+    batches: Iterator[pa.RecordBatch], ids: np.ndarray, kinds: np.ndarray
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slabs of the rows whose id is known, with their ids and classes."""
+    for batch in batches:
+        own = batch.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(False)
+        if not len(ids):
+            continue
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        some = ids[at] == own
+        if some.any():
+            done, kind, own = 0, kinds[at[some]], own[some]
+            for slab in slabs(batch.filter(pa.array(some)), "text"):
+                n = slab.num_rows
+                yield slab, own[done : done + n], kind[done : done + n]
+                done += n
+
+
+def presence(df: DataFrame, known: dict[int, int], n_classes: int) -> np.ndarray:
+    """Over the rows of ``df`` (id, text) whose id is in ``known`` (id -> class, of bounded size): how many
+    texts of each class have a word of each bucket. BUCKETS x n_classes counts."""
+    ids, kinds = _sorted(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * n_classes, np.int64)
-        for batch in batches:
-            own = batch.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(False)
-            at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
-            labelled = (ids[at] == own) if len(ids) else np.zeros(len(own), bool)
-            if not labelled.any():
-                continue
-            batch = batch.filter(pa.array(labelled))
-            kind = kinds[at[labelled]]
-            done = 0
-            for slab in slabs(batch, "text"):
-                words = split_words(slab.column("text"))
-                buckets = word_buckets(words, words.hashes())
-                once = np.unique(words.doc_of * BUCKETS + buckets)
-                label = kind[done + once // BUCKETS]
-                total += np.bincount(once % BUCKETS * n_classes + label, minlength=len(total))
-                done += slab.num_rows
+        for slab, _, kind in _labelled(batches, ids, kinds):
+            words = split_words(slab.column("text"))
+            once = np.unique(words.doc_of * BUCKETS + word_buckets(words, words.hashes()))
+            total += np.bincount(once % BUCKETS * n_classes + kind[once // BUCKETS], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 

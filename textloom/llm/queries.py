@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, pii, quality, substring_dedup, token_counts, vector_join
+from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_counts, vector_join
 
 #: End-of-document identifier, free in the rank file.
 SEPARATOR = 50256
@@ -24,11 +24,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(documents(spark, sf_dir), TOKENIZER, SEPARATOR)
 
 
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and decoded bytes of every text, as digests."""
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER).drop("text")
-    both = bpe.decode(ids, TOKENIZER)
-    return both.select(
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and fitted rates of all documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixed, _ = mixing.mix(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    posteriors = [F.col("member.p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", F.col("member.tokens").alias("n_tokens"), *posteriors, "rate")
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Digests of the ids and of the bytes that they decode to."""
+    ids = bpe.encode(docs.select("doc_id", "text"), TOKENIZER).drop("text")
+    return bpe.decode(ids, TOKENIZER).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
@@ -36,6 +43,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text, as digests."""
+    return encoded(documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left of every document when copies and lines one word apart from an earlier one go."""
     found = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
@@ -90,6 +102,7 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,

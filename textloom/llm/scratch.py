@@ -22,8 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def keep_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that ``clear`` leaves alone."""
+    return f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}/{name}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}/{name}"
+    path = keep_path(spark, name)
     _written.append(path)
     return path
 
@@ -36,10 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what earlier operators left; call it only when their results have been written."""
+def written() -> int:
+    """How many tables have been written so far; what ``clear`` takes as first and end."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, first: int, end: int) -> None:
+    """Delete the tables first..end; call it only when the results that read them have been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop()).getParent()
+    for name in _written[first:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(conf).delete(path, True)
