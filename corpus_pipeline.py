@@ -1,7 +1,89 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""A corpus pipeline of five of the training-data operators.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
+``documents``. A stage deletes what its predecessor left in the shared folder, whose result has then been
+written.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import jaccard_join, line_dedup, mixing, quality, queries, scratch
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Shares of tokens after the quality stage, which leaves next to nothing of the low domain.
+TARGETS = {"clean": 0.94, "low": 0.0, "toxic": 0.06}
+_last = [0]
+
+
+def _tidy(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.clear(spark, _last[0], scratch.written())
+        _last[0] = scratch.written()
+        out = stage(spark, docs, sf_dir)
+        return out
+
+    return run
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the cut."""
+    return quality.accepted(docs, _labels(spark, sf_dir))
+
+
+def near_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that an earlier line equals or nearly equals; documents that had words and lose
+    all of them go. ``n_chars`` follows the text."""
+    kept = line_dedup.dedup(docs)
+    blank = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
+    kept = kept.where(~(blank & (F.col("n_dropped") > 0))).drop("n_lines", "n_dropped")
+    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    groups = jaccard_join.join(docs.select("doc_id", "text"))
+    extra = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents resampled to the target shares of tokens."""
+    return mixing.resample(docs, _labels(spark, sf_dir), TARGETS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes, as digests."""
+    return queries.encoded(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", _tidy(quality_classifier)),
+    ("line_dedup", _tidy(near_line_dedup)),
+    ("ngram_jaccard", _tidy(near_duplicates)),
+    ("mixing", _tidy(mixing_weights)),
+    ("byte_bpe", _tidy(byte_bpe)),
+]
+
+#: SQL can express neither the fitted models nor the tokeniser.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each one's result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        path = scratch.keep_path(spark, "stage")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
