@@ -121,13 +121,15 @@ def script_of(char: Column) -> Column:
 
 def script_counts(text: Column) -> dict[str, Column]:
     """Letters and digits of each script; every class excludes those before it."""
-    rest = F.regexp_replace(F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")), r"[^\p{L}\p{N}]", "")
+    # ASCII first, by a cheap class: its letters are Latin, its digits common to all scripts.
+    ascii_letters = F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))
+    rest = F.regexp_replace(F.regexp_replace(text, r"[\x00-\x7F]+", ""), r"[^\p{L}\p{N}]", "")
     counts: dict[str, Column] = {}
     for name, chars in SCRIPTS:
-        less = F.regexp_replace(rest, f"(?U)[{chars}]", "")
+        less = F.regexp_replace(rest, f"[{chars}]", "")
         counts[name] = counts.get(name, F.lit(0)) + F.length(rest) - F.length(less)
         rest = less
-    counts["en"] = F.length(rest)
+    counts["en"] = F.length(rest) + ascii_letters
     return counts
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text_plans",)
+MODULES: tuple[str, ...] = ("text_plans", "classify_plans", "markup_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
