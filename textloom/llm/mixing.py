@@ -5,8 +5,9 @@
    the others. Its features are the dense ones and the presence of the ``CHOSEN`` most telling words.
 2. Every document gets posteriors of the domains and its number of words as tokens.
 3. Rates r >= 0 are fitted by projected gradient on |B'r - t|^2 / 2 + ``RIDGE`` |r - 1|^2 / 2, where B
-   holds the expected domain tokens of the documents, scaled so that every domain weighs alike, t the
-   targets, and the distance from 1 counts by tokens (so that rates do not depend on length). Each step is one distributed sum of a few numbers: a document's rate follows from its own
+   holds the expected domain tokens of the documents, t the targets, the misfit is measured by the
+   inverse of the domains' Gram matrix (so that every domain weighs alike, however they overlap), and the
+   distance from 1 counts by tokens (so that rates do not depend on length). Each step is one distributed sum of a few numbers: a document's rate follows from its own
    posteriors and the residuals of the steps so far, so no rate ever leaves its row.
 
 A domain with a target of 0 or with less than ``LEAST_SHARE`` of the expected tokens is left
@@ -128,25 +129,23 @@ def with_posteriors(df: DataFrame, model: Classifier, text_col: str = "text", na
 
 @dataclass
 class Rates:
-    """The steps of a fit: a document's rate is an expression on its posteriors and tokens."""
+    """The steps of a fit: a document's rate is an expression on its posteriors."""
 
-    scale: list[float]  # of each domain's expected tokens; 0 for domains left out
     step: float
-    residuals: list[list[float]]
+    directions: list[list[float]]
     ridge: float
 
     def column(self, member: Column) -> Column:
-        # Residuals only matter through their product with the document's row of B.
         rate = F.lit(1.0)
-        for residual in self.residuals:
-            rate = self.next(rate, member["p"], residual)
+        for direction in self.directions:
+            rate = self.next(rate, member["p"], direction)
         return rate
 
-    def next(self, rate: Column, p: Column, residual: list[float]) -> Column:
+    def next(self, rate: Column, p: Column, direction: list[float]) -> Column:
         slope = F.lit(0.0)
-        for i, (s, u) in enumerate(zip(self.scale, residual)):
-            if s:
-                slope = slope + p[i] * (u * s)
+        for i, v in enumerate(direction):
+            if v:
+                slope = slope + p[i] * v
         shrink = self.step * self.ridge
         return F.greatest(F.lit(0.0), rate * (1 - shrink) + shrink - slope * self.step)
 
@@ -162,32 +161,32 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     have, gram = values[:k], values[k:].reshape(k, k)
     weight = np.array([targets[d] for d in DOMAINS])
     weight = np.where(have >= LEAST_SHARE * max(have.sum(), 1e-300), weight, 0)
-    live = weight > 0
-    if not live.any():
-        return Rates([0.0] * k, 0.0, [], RIDGE)
+    live = np.flatnonzero(weight > 0)
+    rates = Rates(1 / (1 + RIDGE), [], RIDGE)
+    if not len(live):
+        return rates
     weight = weight / weight.sum()
     total = have[live].sum() if budget is None else budget
     if whole:
         total = float((have[live] / weight[live]).min())
-    norm = np.where(live, np.sqrt(np.maximum(np.diag(gram), 1e-300)), 1)
-    scale = np.where(live, 1 / norm, 0)
-    goal = weight * total * scale
-    top = np.linalg.eigvalsh(gram * scale[:, None] * scale[None, :])[-1]
-    rates = Rates(scale.tolist(), float(1 / (top + RIDGE)), [], RIDGE)
-    current = members.select(F.col("tokens").cast("double").alias("tokens"), "p", F.lit(1.0).alias("rate"))
-    reached = have * scale
+    goal = weight * total
+    inverse = np.linalg.pinv(gram[np.ix_(live, live)], rcond=1e-9)
+    current = members.select("tokens", "p", F.lit(1.0).alias("rate"))
+    reached = have
     for step in range(MAX_STEPS):
-        residual = (reached - goal).tolist()
-        if np.abs(residual).max() <= TOLERANCE * np.abs(goal).max():
+        miss = (reached - goal)[live]
+        if np.abs(miss).max() <= TOLERANCE * goal.max():
             break
-        rates.residuals.append(residual)
-        moved = rates.next(F.col("rate"), F.col("p"), residual)
+        direction = np.zeros(k)
+        direction[live] = inverse @ miss
+        rates.directions.append(direction.tolist())
+        moved = rates.next(F.col("rate"), F.col("p"), rates.directions[-1])
         current = current.select("tokens", "p", moved.alias("rate"))
         if step % 8 == 7:  # keep the expression short
             current = materialize(current, "rates")
-        row = current.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]).first()
-        new = np.array([v or 0.0 for v in row]) * scale
-        if np.abs(new - reached).max() <= 1e-7 * np.abs(goal).max():
+        sums = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
+        new = np.array([v or 0.0 for v in current.agg(*sums).first()])
+        if np.abs(new - reached).max() <= 1e-7 * goal.max():
             break
         reached = new
     return rates
