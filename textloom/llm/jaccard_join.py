@@ -4,8 +4,8 @@
    per band and bands are chosen so that a pair at the threshold is missed with a chance of at most
    ``1 - recall``. Texts with the same words are one *class*; only its smallest id goes on.
 2. Band hashes are shuffled; those that one class has alone are dropped by a count.
-3. Every class goes to one block: its most populous band bucket, dealt out to blocks of at most
-   ``block`` classes. Two blocks are compared when any bucket has classes of both. A bucket with a
+3. Every class goes to the home of its most populous band bucket, then to the most crowded home that
+   it shares a bucket with; a home is dealt out to blocks of about ``block`` classes. Two blocks are compared when any bucket has classes of both. A bucket with a
    third of all rows is so many blocks, and no pair of texts is ever a row of a table.
 4. Each pair of blocks gets its texts and verifies all pairs between them on the full n-gram sets,
    as products of incidence matrices. It returns, for each class, the number of links and the
@@ -30,7 +30,9 @@ from textloom.llm.components import connected_components
 from textloom.llm.kernels import inverse, mix, ngram_hashes, powers, ranges_hash, slabs, split_words
 from textloom.llm.scratch import materialize
 
-BLOCK = 256
+BLOCK = 1024
+#: N-grams in a block: with BLOCK, what a task holds of it.
+BLOCK_GRAMS = 1_000_000
 #: Bytes of texts that a worker holds at a time while it gathers small pairs of blocks.
 GATHER_BYTES = 2 << 20
 
@@ -94,15 +96,25 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int, seed: int = 1) -
 
 def _pairs_of(reps: DataFrame, block: int) -> DataFrame:
     """(pair, side, id, weight): which classes each pair of blocks compares."""
-    member = reps.select("id", F.explode("bands").alias("bucket"))
+    member = reps.select("id", "n", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     member = materialize(member.join(shared, "bucket"), "members")
-    home = member.groupBy("id").agg(F.max(F.struct("many", "bucket")).alias("home"))
-    home = home.select("id", F.col("home.bucket").alias("home"))
-    crowd = home.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
-    home = home.join(crowd, "home").select(
-        "id",
-        F.xxhash64("home", F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / block))).alias("block"),
+    first = member.groupBy("id").agg(F.max(F.struct("many", "bucket")).alias("home"))
+    first = first.select("id", F.col("home.bucket").alias("home"))
+    crowd = first.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"))
+    first = materialize(first.join(crowd, "home"), "homes")
+    # Each class moves to the most crowded home that it shares a bucket with.
+    around = member.select("id", "bucket", "n").join(first, "id")
+    best = around.groupBy("bucket").agg(F.max(F.struct("crowd", "home")).alias("best"))
+    home = around.select("id", "bucket", "n").join(best, "bucket").groupBy("id").agg(
+        F.max("best").alias("best"), F.max("n").alias("n")
+    )
+    home = materialize(home.select("id", "n", F.col("best.home").alias("home")), "moved")
+    parts = home.groupBy("home").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts")
+    )
+    home = home.join(parts, "home").select(
+        "id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
     )
     home = materialize(home, "blocks")
     inside = member.select("id", "bucket").join(home, "id").select("bucket", "block").distinct()
@@ -115,17 +127,6 @@ def _pairs_of(reps: DataFrame, block: int) -> DataFrame:
     return home.join(sides, "block").select("pair", "side", "id")
 
 
-def _matrix(grams: np.ndarray, at: np.ndarray, sets: list[int], names: np.ndarray) -> np.ndarray:
-    """Incidence of the n-grams ``names`` (sorted) in the sets."""
-    out = np.zeros((len(sets), len(names)), np.float32)
-    for row, k in enumerate(sets):
-        own = grams[at[k] : at[k + 1]]
-        found = np.searchsorted(names, own)
-        found = np.minimum(found, len(names) - 1)
-        out[row, found[names[found] == own]] = 1
-    return out
-
-
 def links_between(grams: np.ndarray, at: np.ndarray, left: list[int], right: list[int], threshold: float) -> np.ndarray:
     """Which sets of ``left`` and ``right`` (sorted distinct n-grams at grams[at[k]:at[k+1]]) have a
     Jaccard similarity of at least ``threshold``."""
@@ -139,14 +140,19 @@ def links_between(grams: np.ndarray, at: np.ndarray, left: list[int], right: lis
                     found = np.minimum(np.searchsorted(y, x), len(y) - 1)
                     common[i, j] = np.count_nonzero(y[found] == x)
     else:
-        some = sorted({*left, *right})
-        names, seen = np.unique(np.concatenate([grams[at[k] : at[k + 1]] for k in some]), return_counts=True)
-        names = names[seen > 1]  # an n-gram of one set alone is common to no two
-        step = max(256, (8 << 20) // (4 * (len(left) + len(right))))
-        for first in range(0, len(names), step):
-            part = names[first : first + step]
-            x = _matrix(grams, at, left, part)
-            common += x @ (x if right is left else _matrix(grams, at, right, part)).T
+        some = left if right is left else left + right
+        take = np.concatenate([np.arange(at[k], at[k + 1]) for k in some])
+        names, gram, seen = np.unique(grams[take], return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(some)), sizes[some])
+        order = np.argsort(gram, kind="stable")
+        order = order[seen[gram[order]] > 1]  # an n-gram of one set alone is common to no two
+        row, gram = row[order], np.cumsum(np.diff(gram[order], prepend=-1) > 0) - 1
+        step = max(256, (16 << 20) // (4 * len(some)))
+        for first in range(0, int(gram[-1]) + 1 if len(gram) else 0, step):
+            a, b = np.searchsorted(gram, [first, first + step])
+            x = np.zeros((len(some), min(step, int(gram[-1]) + 1 - first)), np.float32)
+            x[row[a:b], gram[a:b] - first] = 1
+            common += x @ x.T if right is left else x[: len(left)] @ x[len(left) :].T
     union = sizes[left][:, None] + sizes[right][None, :] - common
     return (common >= threshold * union - 1e-9) & (common > 0)
 
@@ -241,7 +247,8 @@ def join(
     weights = classes.select(F.col("class_id").alias("id"), F.col("copies").alias("weight"))
     reps = signed.join(weights, "id", "left_semi").dropDuplicates(["id"])
     pairs = materialize(_pairs_of(reps, block).join(weights, "id"), "block-pairs")
-    texts = known.join(pairs, "id").select("pair", "side", "id", "weight", "text")
+    # The same plan at every size: without the hint small inputs would be broadcast.
+    texts = known.join(pairs.hint("merge"), "id").select("pair", "side", "id", "weight", "text")
     dealt = texts.repartition("pair").sortWithinPartitions("pair", "side", "id")
     found = materialize(
         dealt.mapInArrow(lambda batches: _verified(batches, size, threshold), "id long, links long, least long"),
