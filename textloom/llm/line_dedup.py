@@ -45,8 +45,9 @@ def _half_keys(words: Column, n: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, line, h1, h2, keys) of every line that is not blank."""
-    split = docs.where("id IS NOT NULL").select("id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    words = split.withColumn("words", words_of(F.col("content"))).where(F.size("words") > 0)
+    # The generator's output is computed once; a projection would be copied into every use.
+    split = F.transform(F.split("text", "\n", -1), words_of)
+    words = docs.where("id IS NOT NULL").select("id", F.posexplode(split).alias("line", "words")).where(F.size("words") > 0)
     n = F.size("words")
     return words.select(
         "id",
@@ -57,6 +58,47 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _variants(words: Column) -> Column:
+    """Hashes (v1, v2) of the whole line, and of it without each of its words.
+
+    A sequence's hash is the XOR of the hashes of its words with their places, so the one without word
+    i is that of the words before it and of the words after it moved up by one: a pass over the line
+    gives all of them.
+    """
+    placed = F.transform(
+        words,
+        lambda w, j: F.struct(
+            F.xxhash64(w, j).alias("f1"),
+            F.xxhash64(F.lit(7), w, j).alias("f2"),
+            F.xxhash64(w, j - 1).alias("g1"),
+            F.xxhash64(F.lit(7), w, j - 1).alias("g2"),
+        ),
+    )
+    zero = F.lit(0).cast("long")
+    sums = ("f1", "f2", "g1", "g2")
+    start = F.struct(
+        *[zero.alias(c) for c in sums], F.expr("cast(array() as array<struct<f1:bigint,f2:bigint,g1:bigint,g2:bigint>>)").alias("out")
+    )
+
+    def step(s: Column, x: Column) -> Column:
+        now = {c: s[c].bitwiseXOR(x[c]) for c in sums}
+        # Words before this one at their places, words up to this one moved up.
+        row = F.struct(s["f1"].alias("f1"), s["f2"].alias("f2"), now["g1"].alias("g1"), now["g2"].alias("g2"))
+        return F.struct(*[now[c].alias(c) for c in sums], F.array_append(s["out"], row).alias("out"))
+
+    def finish(s: Column) -> Column:
+        less = F.transform(
+            s["out"],
+            lambda r: F.struct(
+                r["f1"].bitwiseXOR(s["g1"]).bitwiseXOR(r["g1"]).alias("v1"),
+                r["f2"].bitwiseXOR(s["g2"]).bitwiseXOR(r["g2"]).alias("v2"),
+            ),
+        )
+        return F.struct(F.struct(s["f1"].alias("v1"), s["f2"].alias("v2")).alias("whole"), less.alias("less"))
+
+    return F.aggregate(placed, start, step, finish)
+
+
 def _common_prefix(a: Column, b: Column) -> Column:
     differs = F.transform(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: ~same)
     at = F.array_position(differs, F.lit(True))
@@ -87,28 +129,21 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .dropDuplicates(["h1", "h2"]),
         "near-lines",
     )
-    n = F.size("words")
-    word_keys = held.select("first", "h1", "h2", n.alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-
-    def variant(i: Column) -> Column:
-        rest = F.concat(F.slice(F.col("w"), F.lit(1), i), F.slice(F.col("w"), i + 2, F.col("n")))
-        return F.struct(i.alias("place"), F.xxhash64(rest).alias("v1"), F.xxhash64(F.lit(7), rest).alias("v2"))
-
-    variants = word_keys.select(
-        "first", "h1", "h2", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), variant)).alias("v")
-    ).select("first", "h1", "h2", "v.*")
-    whole = word_keys.select("first", "h1", "h2", F.xxhash64("w").alias("v1"), F.xxhash64(F.lit(7), "w").alias("v2"))
+    keyed = held.select("first.*", _variants(F.col("words")).alias("v"))
+    variants = materialize(keyed.select("id", "line", F.posexplode("v.less").alias("place", "key")), "variants")
+    first = F.struct("id", "line").alias("first")
+    variants = variants.select(first, "place", "key.*")
+    whole = keyed.select(first, "v.whole.*")
     key = ["v1", "v2"]
     # A replaced word: the earliest line with this variant at this place.
-    least = variants.groupBy(*key, "place").agg(F.min("first").alias("other"))
-    replaced = variants.join(least, [*key, "place"]).where("other < first").select("first", "h1", "h2", "other")
+    least = variants.groupBy(*key, "place").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("many"))
+    replaced = variants.join(least.where("many > 1"), [*key, "place"]).where("other < first").select("first", "other")
     # An inserted word: a line against the lines of which it is a variant, both ways.
-    longer = variants.groupBy(*key).agg(F.min("first").alias("other"))
-    shorter = whole.select(*key, F.col("first").alias("other"))
-    inserted = whole.join(longer, key).where("other < first").select("first", "h1", "h2", "other")
-    deleted = variants.join(shorter, key).where("other < first").select("first", "h1", "h2", "other")
-    matches = replaced.unionByName(inserted).unionByName(deleted).distinct()
-    mine = held.select("first", F.col("words").alias("mine"))
+    longer = variants.join(whole.select(*key, F.col("first").alias("shorter")), key)
+    inserted = longer.groupBy("shorter").agg(F.min("first").alias("other")).where("other < shorter")
+    deleted = longer.groupBy("first").agg(F.min("shorter").alias("other")).where("other < first")
+    matches = replaced.unionByName(inserted.withColumnRenamed("shorter", "first")).unionByName(deleted).distinct()
+    mine = held.select("first", "h1", "h2", F.col("words").alias("mine"))
     theirs = held.select(F.col("first").alias("other"), F.col("words").alias("theirs"))
     checked = matches.join(mine, "first").join(theirs, "other").where(within_one(F.col("mine"), F.col("theirs")))
     return checked.select("h1", "h2").distinct()
@@ -139,10 +174,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
     lines = F.split(F.col(f"`{text_col}`"), "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("gone"), i))
+    whole = F.col(f"`{text_col}`")
+    ends = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))
     joined = df.join(found, F.col(f"`{id_col}`") == F.col("__id"), "left")
     text = F.when(F.col("gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(whole.isNull(), 0).otherwise(ends + 1).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
