@@ -22,11 +22,15 @@ def duck():
     return con
 
 
-def test_every_query_has_a_twin():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+#: Order-dependent operators that SQL cannot express; tested on literal cases in test_sequential.
+NO_TWIN = {"layout_filter", "md_protect"}
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_every_other_query_has_a_twin():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == NO_TWIN
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_meets_its_twin(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     columns = sorted(df.columns)
