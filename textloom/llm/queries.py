@@ -113,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vector_join": op10_vector_join,
 }
 
+_WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": r"""
         WITH rows AS (
@@ -125,6 +127,55 @@ ORACLE: dict[str, str] = {
                sha256(norm) AS text_sha256
         FROM rows
     """,
+    "op4_line_dedup": rf"""
+        WITH l AS (
+            SELECT doc_id, u.i AS line, {_WORDS.format('u.t')} AS w
+            FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda t, i: {{'t': t, 'i': i - 1}})) AS u FROM documents)
+        ), d AS (
+            SELECT array_to_string(w, ' ') AS body, any_value(w) AS w, min((doc_id, line)) AS first FROM l WHERE len(w) > 0 GROUP BY body
+        ), v AS (
+            SELECT body, first, p, array_to_string(w[1:p - 1] || w[p + 1:], ' ') AS less, len(w) AS n
+            FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) >= {line_dedup.MIN_WORDS})
+        ), least AS (SELECT less, p, n, min(first) AS other FROM v GROUP BY less, p, n),
+        near AS (
+            SELECT v.body FROM v JOIN least USING (less, p, n) WHERE other < v.first
+            UNION SELECT d.body FROM d JOIN v ON v.less = d.body AND v.n = len(d.w) + 1 WHERE len(d.w) >= {line_dedup.MIN_WORDS} AND v.first < d.first
+            UNION SELECT v.body FROM v JOIN d ON v.less = d.body AND v.n = len(d.w) + 1 WHERE len(d.w) >= {line_dedup.MIN_WORDS} AND d.first < v.first
+        ), gone AS (
+            SELECT doc_id, list(line) AS gone FROM l JOIN d ON d.body = array_to_string(l.w, ' ')
+            WHERE len(l.w) > 0 AND ((doc_id, line) <> first OR d.body IN (SELECT body FROM near)) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+               sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda t, i: NOT list_contains(gone, i - 1)), chr(10)) END) AS kept_sha256
+        FROM documents LEFT JOIN gone USING (doc_id)
+    """,
+    "op6_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT w.doc_id, CASE WHEN len(w) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY array_to_string(w, ' ')) END AS class_id,
+               (SELECT min(b) FROM reach WHERE a = w.doc_id) AS component_id, (SELECT count(*) FROM link WHERE a = w.doc_id) AS n_links
+        FROM w
+    """,
+    "op9_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+        k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+        least AS (SELECT key, min(doc_id) AS least FROM k GROUP BY key),
+        gone AS (SELECT doc_id, list(p) AS gone FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN least USING (key) WHERE least < doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)
+    """,
+    "op10_vector_join": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+    """,
 }
 
 
