@@ -31,18 +31,18 @@ def xlsx_translatable(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Texts with glyph marks: every third word of the first words gives way to a mark, by id.
+# Texts with glyph marks, by id.
 _CID = (
-    "CASE doc_id % 6 WHEN 0 THEN concat(substr(text, 1, 20), '(cid:', doc_id, ')', substr(text, 21, 20)) "
-    "WHEN 1 THEN concat('(cid:1)(cid:2)(CID:3)', substr(text, 1, doc_id % 9)) WHEN 2 THEN concat('Q(cid:1)', doc_id, ' Revenue') "
-    "WHEN 3 THEN concat('A(cid:2)', substr(text, 1, doc_id % 4)) WHEN 4 THEN '1⁄4' ELSE substr(text, 1, 30) END"
+    "CASE doc_id % 6 WHEN 0 THEN concat(substr(text, 1, 20), '(cid:', doc_id, ')', substr(text, 21)) "
+    "WHEN 1 THEN concat('(cid:1)(cid:2)(CID:3)', CASE WHEN doc_id % 4 = 1 THEN 'ab' ELSE text END) WHEN 2 THEN concat('Q(cid:1)', doc_id, ' Revenue') "
+    "WHEN 3 THEN concat('A(cid:2)', CASE WHEN doc_id % 4 = 1 THEN 'B' ELSE text END) WHEN 4 THEN '1⁄4' ELSE text END"
 )
 
 
 def cid_recovery(spark: SparkSession, sf: str) -> DataFrame:
     rows = _table(spark, sf, "documents").select("doc_id", F.expr(_CID).alias("span"))
     kept = tx.preserve_span(F.col("span"))
-    return rows.select("doc_id", tx.recoverable_cid(F.col("span")).alias("recoverable"), kept["preserve"].alias("preserve"), kept["text"].alias("clean"))
+    return rows.select("doc_id", tx.recoverable_cid(F.col("span")).alias("recoverable"), kept["preserve"].alias("preserve"), F.md5(kept["text"].cast("binary")).alias("clean_md5"))
 
 
 _NAMES = [n for names in lg.ALIASES.values() for n in names] + ["", "xx", " English ", "FR", "De"]
@@ -57,8 +57,8 @@ def lang_alias(spark: SparkSession, sf: str) -> DataFrame:
 
 # Characters of other scripts put before the text, by id.
 _SAMPLES = ("", "Привет мир ", "漢字かな ", "한국어 ", "বাংলা ", "ខ្មែរ ", "Tiếng Việt ", "∑αβ ", "├── ", "中文内容 ")
-_MIXED = "concat(element_at(array(" + ", ".join(f"'{s}'" for s in _SAMPLES) + "), cast(doc_id % 10 as int) + 1), substr(text, 1, cast(doc_id % 50 as int)))"
-_MIXED_DUCK = "concat([" + ", ".join(f"'{s}'" for s in _SAMPLES) + "][doc_id % 10 + 1], substr(text, 1, doc_id % 50))"
+_MIXED = "concat(element_at(array(" + ", ".join(f"'{s}'" for s in _SAMPLES) + "), cast(doc_id % 10 as int) + 1), text)"
+_MIXED_DUCK = "concat([" + ", ".join(f"'{s}'" for s in _SAMPLES) + "][doc_id % 10 + 1], text)"
 
 
 def _mixed(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,10 +253,11 @@ ORACLE = {
                  (n <= 1 AND parts >= 2 AND CASE WHEN regexp_matches(compact, '{_WORD}') THEN length(compact) >= 3 ELSE alnum >= 4 END)
                  OR words >= 3 OR (alpha >= 12 AND n <= greatest(2, alpha // 8))) AS recoverable,
                  regexp_replace(span, '\s+', '', 'g') <> '' AND regexp_matches(regexp_replace(span, '\s+', '', 'g'), '^[\p{{N}}\p{{P}}\p{{S}}]+$') AS number FROM c)
+        SELECT doc_id, recoverable, preserve, md5(clean) AS clean_md5 FROM (
         SELECT doc_id, recoverable, (n > 0 AND NOT recoverable) OR number OR span = '' AS preserve,
                CASE WHEN number THEN replace(CASE WHEN n > 0 AND recoverable THEN clean0 ELSE span END, '⁄', '/')
                     WHEN n > 0 AND recoverable THEN clean0 ELSE span END AS clean
-        FROM r
+        FROM r)
     """,
     "lang_alias": f"SELECT c_custkey, {_CODE.format('name')} AS code FROM (SELECT c_custkey, {_NAMES!r}[c_custkey % {len(_NAMES)} + 1] AS name FROM customer)",
     "infer_language": _SCRIPT_SQL.replace("{rows}", _ROWS)

@@ -11,7 +11,7 @@ from textloom.operators import office as of
 # One line of each turn as Markdown, by its place.
 _LINE = """concat_ws('\n', CASE turn % 3 WHEN 0 THEN concat('# ', role) WHEN 1 THEN concat('- [x] ', role) ELSE concat('> ', role) END,
     CASE WHEN turn % 2 = 0 THEN '' ELSE concat('| ', role, ' | b |') END, CASE WHEN turn % 4 = 1 THEN '|---|---|' WHEN turn % 4 = 3 THEN '|---|' ELSE 'plain' END,
-    CASE WHEN turn % 5 < 3 THEN '| x \\\\| y | z |' ELSE 'tail' END, substr(text, 1, 40), '')"""
+    CASE WHEN turn % 5 < 3 THEN '| x \\\\| y | z |' ELSE 'tail' END, text, '')"""
 _LINE_DUCK = _LINE.replace("'\n'", "chr(10)").replace("\\\\|", "\\|")
 
 
@@ -40,7 +40,7 @@ def md_protect(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_merge(spark: SparkSession, sf: str) -> DataFrame:
     """O-100: turns as runs, the role as format."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.expr("CASE WHEN length(text) % 3 = 0 THEN 'bold' ELSE 'plain' END").alias("fmt"), F.substring("text", 1, 5).alias("t"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.expr("CASE WHEN length(text) % 3 = 0 THEN 'bold' ELSE 'plain' END").alias("fmt"), F.col("text").alias("t"))
     return of.merge_runs(rows, ["conv_id"], "turn", "fmt", "t").select("conv_id", F.col("run").cast("long").alias("run"), "fmt", "t", "runs")
 
 
@@ -99,7 +99,7 @@ def table_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 def cell_markup(spark: SparkSession, sf: str) -> DataFrame:
     """O-106, O-107 and O-114."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 6).alias("t")))).alias("p"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("p"))
     paragraphs = F.transform("p", lambda x: F.when(x["turn"] % 4 == 3, F.expr("cast(array() as array<string>)")).otherwise(F.array(x["t"])))
     return rows.select("conv_id", of.marked_cell(paragraphs).alias("markup"), of.bilingual(F.col("p")[0]["t"], F.lit("T")).alias("bilingual"))
 
@@ -134,7 +134,7 @@ ORACLE = {
                      ELSE substr(min(content), CAST(max(prefix) AS BIGINT) + 1) END AS body FROM i GROUP BY doc_id, island)
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS seg_order, kind, md5(body) AS text_md5 FROM s WHERE regexp_matches(body, '\S')""",
     "run_merge": """
-        WITH r AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'bold' ELSE 'plain' END AS fmt, substr(text, 1, 5) AS t FROM conversations),
+        WITH r AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'bold' ELSE 'plain' END AS fmt, text AS t FROM conversations),
         n AS (SELECT *, CASE WHEN fmt = lag(fmt) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM r),
         g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS run FROM n)
         SELECT conv_id, CAST(run AS BIGINT) AS run, min(fmt) AS fmt, string_agg(t, '' ORDER BY turn) AS t, count(*) AS runs FROM g GROUP BY conv_id, run""",
@@ -157,6 +157,6 @@ ORACLE = {
               UNION ALL SELECT t.doc, t.id, (f.effective + 1) * 1000 + t.idx, f.level + 1 FROM f JOIN t ON t.doc = f.doc AND t.id = f.table_id + 1 WHERE f.level < 3)
         SELECT doc, table_id, effective, level FROM f""",
     "cell_markup": """
-        WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '<span></span>' ELSE '<span>' || substr(text, 1, 6) || '</span>' END AS b, substr(text, 1, 6) AS t FROM conversations)
+        WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '<span></span>' ELSE '<span>' || text || '</span>' END AS b, text AS t FROM conversations)
         SELECT conv_id, CASE WHEN count(*) > 1 THEN string_agg('<p>' || b || '</p>', '' ORDER BY turn) ELSE min(b) END AS markup, arg_min(t, turn) || chr(10) || 'T' AS bilingual FROM p GROUP BY conv_id""",
 }

@@ -14,7 +14,7 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/conversations.parquet")
 
 
-_A, _B = "substr(text, 1, 12)", "substr(text, 13, 14)"
+_A, _B = "substr(text, 1, 12)", "substr(text, 13)"
 _SOURCE = f"concat('<span>', {_A}, '</span><span> </span><span>', {_B}, '</span>')"
 _CANDIDATE = f"""CASE (conv_id + turn) % 9
     WHEN 0 THEN concat('<span>', {_A}, '</span><span> </span><span>', {_B}, '</span>')
@@ -63,7 +63,7 @@ def markup_settle(spark: SparkSession, sf: str) -> DataFrame:
 
 def markup_escape(spark: SparkSession, sf: str) -> DataFrame:
     """O-71 and O-79 on page sources."""
-    piece = F.substring("html", 1, 200)
+    piece = F.col("html")
     cell = F.concat(F.lit("[CELL_A1]"), mk.marked_span(piece))
     return spark.read.parquet(f"{sf}/pages.parquet").select(
         "page_id", F.md5(mk.marked_span(piece).cast("binary")).alias("escaped_md5"),
@@ -74,7 +74,7 @@ def markup_escape(spark: SparkSession, sf: str) -> DataFrame:
 
 def english_spacing(spark: SparkSession, sf: str) -> DataFrame:
     """O-76 on runs that end where words do or do not."""
-    made = F.concat(*[F.concat(F.lit("<span>"), F.substring("text", 1 + 7 * i, 7), F.lit("</span>")) for i in range(4)])
+    made = F.concat(*[F.concat(F.lit("<span>"), F.substring("text", 1 + 7 * i, 7 if i < 3 else 1 << 30), F.lit("</span>")) for i in range(4)])
     return _turns(spark, sf).select("conv_id", "turn", mk.english_spacing(made).alias("spaced"))
 
 
@@ -185,7 +185,7 @@ def http_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def cell_split(spark: SparkSession, sf: str) -> DataFrame:
     """O-82 and O-83: a row of six spans as cells of one, two and three."""
-    made = F.concat(*[F.concat(F.lit("<span>"), F.substring("text", 1 + 5 * i, 5), F.lit("</span>")) for i in range(6)])
+    made = F.concat(*[F.concat(F.lit("<span>"), F.substring("text", 1 + 5 * i, 5 if i < 5 else 1 << 30), F.lit("</span>")) for i in range(6)])
     counts = F.array(F.lit(1), F.lit(2), F.lit(3))
     return _turns(spark, sf).select(
         "conv_id", "turn", F.array_join(mk.take_cells(made, counts), "#").alias("cells"),
@@ -264,9 +264,9 @@ ORACLE = {
     "markup_settle": _REPAIR
     + f"""SELECT conv_id, CASE WHEN {_DOC_OK} THEN 'strict' WHEN df IS NOT NULL AND NOT ({_BL("d1 || d3")})
           AND len(list_filter(df, lambda c: contains(c, '<') OR contains(c, '>'))) = 0 THEN 'repaired' ELSE 'fallback' END AS outcome, count(*) AS n FROM filled GROUP BY ALL""",
-    "markup_escape": "SELECT page_id, md5('<span>' || replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>') AS escaped_md5, true AS round_trip, true AS wrong_marker FROM pages",
+    "markup_escape": "SELECT page_id, md5('<span>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>') AS escaped_md5, true AS round_trip, true AS wrong_marker FROM pages",
     "english_spacing": r"""
-        WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3], lambda i: substr(text, 1 + 7 * i, 7)) AS v FROM conversations),
+        WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3], lambda i: CASE WHEN i < 3 THEN substr(text, 1 + 7 * i, 7) ELSE substr(text, 22) END) AS v FROM conversations),
         e AS (SELECT *, list_transform([1, 2, 3], lambda i: {'l': v[i], 'r': v[i + 1], 'a': right(rtrim(v[i], ' ' || chr(10) || chr(9) || chr(13)), 1), 'b': left(ltrim(v[i + 1], ' ' || chr(10) || chr(9) || chr(13)), 1)}) AS p FROM s),
         f AS (SELECT *, list_transform(p, lambda x: regexp_matches(x.a, '^[A-Za-z0-9]$') AND regexp_matches(x.b, '^[A-Za-z0-9]$')
                   AND NOT (regexp_matches(x.a, '^[0-9]$') AND regexp_matches(x.b, '^[0-9]$'))
@@ -312,7 +312,7 @@ ORACLE = {
         SELECT CAST(s AS BIGINT) AS status, {_STATUS} AS code, s IN (408, 429) OR s >= 500 AS retryable, CAST(sum(tokens) FILTER (tokens >= 0) AS BIGINT) AS tokens, count(*) AS n FROM r GROUP BY ALL
     """,
     "cell_split": """
-        WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3, 4, 5], lambda i: '<span>' || substr(text, 1 + 5 * i, 5) || '</span>') AS v FROM conversations)
+        WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3, 4, 5], lambda i: '<span>' || CASE WHEN i < 5 THEN substr(text, 1 + 5 * i, 5) ELSE substr(text, 26) END || '</span>') AS v FROM conversations)
         SELECT conv_id, turn, v[1] || '#' || v[2] || v[3] || '#' || v[4] || v[5] || v[6] AS cells, '1,3,6' AS bounds FROM s
     """,
 }
