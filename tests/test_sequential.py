@@ -104,3 +104,18 @@ def test_line_ends_and_names(spark):
     assert value(spark, tx.base_name(F.lit("C:\\in\\a.txt"))) == "a.txt"
     assert value(spark, tx.display_name(F.lit(".."))) == "document"
     assert value(spark, tx.output_name(F.lit("a.b.docx"), F.lit("zh CN"))) == "a.b.zh-CN.docx"
+
+
+def test_labels_and_plain_forms(spark):
+    assert value(spark, lg.target_label(F.lit("zh_TW"))) == "Traditional Chinese (Taiwan)"
+    assert value(spark, lg.target_label(F.lit(" tlh "))) == "tlh"
+    assert value(spark, lg.source_label(F.lit(None).cast("string"))) == "automatically identified language"
+    assert value(spark, lg.source_label(F.lit("zh-HK"))) == "Chinese"
+    assert value(spark, lg.nearly_identical(F.lit("A b\nC"), F.lit("ab c"))) is True
+    assert value(spark, lg.span_text(F.lit(" so­ft  hy\n"))) == "soft hy"
+
+
+def test_script_runs(spark):
+    got = value(spark, lg.script_runs(F.lit(" 1 Hello, 世界! Привет")))
+    assert [(r.text, r.script) for r in got] == [(" 1 Hello, ", "en"), ("世界! ", "zh"), ("Привет", "ru")]
+    assert value(spark, lg.script_runs(F.lit(""))) == []

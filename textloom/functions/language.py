@@ -253,3 +253,57 @@ def adjusted_size(size: Column, original: Column, translated: Column, least_rati
     )
     fitted = F.greatest(size * original / translated, F.greatest(size * floor_, F.lit(least)))
     return F.when((original <= 0) | (translated <= original), size).otherwise(fitted)
+
+
+# Names of languages in prompts, by lower-cased code.
+TARGET_LABELS = {
+    "zh": "Simplified Chinese", "zh-cn": "Simplified Chinese", "zh-tw": "Traditional Chinese (Taiwan)",
+    "zh-hk": "Traditional Chinese (Hong Kong)", "en": "English", "fr": "French", "de": "German", "es": "Spanish", "ru": "Russian",
+    "ja": "Japanese", "ko": "Korean", "vi": "Vietnamese",
+}
+
+
+def target_label(language: Column) -> Column:
+    """Name of a target language, else the code as given (O-40)."""
+    code = F.replace(F.lower(F.trim(language)), F.lit("_"), F.lit("-"))
+    table = F.create_map(*[F.lit(x) for pair in TARGET_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), F.trim(language))
+
+
+def source_label(language: Column) -> Column:
+    """Name of a source language; all kinds of Chinese are one (O-40)."""
+    given = F.coalesce(language, F.lit("auto"))
+    code = F.replace(F.lower(F.trim(given)), F.lit("_"), F.lit("-"))
+    chinese = code.isin("zh", "zh-cn", "zh-tw", "zh-hk")
+    return F.when(code == "auto", "automatically identified language").when(chinese, "Chinese").otherwise(target_label(given))
+
+
+def nearly_identical(a: Column, b: Column) -> Column:
+    """Equal but for white space and case (O-156)."""
+    plain = lambda t: F.lower(F.regexp_replace(t, r"(?U)\s+", ""))
+    return plain(a) == plain(b)
+
+
+def span_text(text: Column) -> Column:
+    """Without soft hyphens, white space collapsed (O-148)."""
+    return collapse(F.replace(text, F.lit("­"), F.lit("")))
+
+
+def script_runs(text: Column, default: str = "en") -> Column:
+    """Maximal runs of one script as (text, script); characters common to all stay with the run (O-28)."""
+    runs = F.expr("cast(array() as array<struct<text:string,script:string>>)")
+
+    def step(s: Column, char: Column) -> Column:
+        found = script_of(char)
+        script = F.when(found != "common", found).otherwise(F.coalesce(s["script"], F.lit(default)))
+        first, same = s["script"].isNull(), s["script"] == script
+        done = F.when(first | same, s["out"]).otherwise(F.array_append(s["out"], F.struct(s["run"].alias("text"), s["script"].alias("script"))))
+        return F.struct(
+            F.when(same, F.concat(s["run"], char)).otherwise(char).alias("run"), script.alias("script"), done.alias("out")
+        )
+
+    start = F.struct(F.lit("").alias("run"), F.lit(None).cast("string").alias("script"), runs.alias("out"))
+    finish = lambda s: F.when(s["script"].isNull(), s["out"]).otherwise(
+        F.array_append(s["out"], F.struct(s["run"].alias("text"), s["script"].alias("script")))
+    )
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, finish)

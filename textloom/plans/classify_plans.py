@@ -55,6 +55,23 @@ def lang_alias(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", lg.language_code(F.col("name")).alias("code"))
 
 
+_CODES = ("zh", "zh_TW", "EN", "fr ", "vi", "auto", "tlh", "zh-HK")
+
+
+def prompt_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """O-40 for one code per customer."""
+    codes = F.array(*[F.lit(n) for n in _CODES])
+    code = F.element_at(codes, (F.col("c_custkey") % len(_CODES) + 1).cast("int"))
+    return _table(spark, sf, "customer").select("c_custkey", lg.target_label(code).alias("target"), lg.source_label(code).alias("source"))
+
+
+def span_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """O-148 and O-156: span texts, and whether a text equals itself in other clothes."""
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    other = F.upper(F.replace("text", F.lit(" "), F.lit("  ")))
+    return rows.select("conv_id", "turn", F.md5(lg.span_text(F.col("text")).cast("binary")).alias("span_md5"), lg.nearly_identical(F.col("text"), other).alias("same"))
+
+
 # Characters of other scripts put before the text, by id.
 _SAMPLES = ("", "Привет мир ", "漢字かな ", "한국어 ", "বাংলা ", "ខ្មែរ ", "Tiếng Việt ", "∑αβ ", "├── ", "中文内容 ")
 _MIXED = "concat(element_at(array(" + ", ".join(f"'{s}'" for s in _SAMPLES) + "), cast(doc_id % 10 as int) + 1), text)"
@@ -145,6 +162,8 @@ QUERIES = {
     "xlsx_translatable": xlsx_translatable,
     "cid_recovery": cid_recovery,
     "lang_alias": lang_alias,
+    "prompt_labels": prompt_labels,
+    "span_forms": span_forms,
     "infer_language": infer_language,
     "infer_corpus_language": infer_corpus_language,
     "font_fallback": font_fallback,
@@ -227,7 +246,15 @@ _ROWS = f"SELECT doc_id, {_MIXED_DUCK} AS t FROM documents"
 _CELL_DUCK = _CELL
 _CID_DUCK = _CID
 _WORD = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
+_LABEL = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lg.TARGET_LABELS.items()) + " ELSE trim(c) END"
 ORACLE = {
+    "prompt_labels": f"""
+        WITH n AS (SELECT c_custkey, {list(_CODES)!r}[c_custkey % {len(_CODES)} + 1] AS c FROM customer), m AS (SELECT *, replace(lower(trim(c)), '_', '-') AS k FROM n)
+        SELECT c_custkey, {_LABEL} AS target, CASE WHEN k = 'auto' THEN 'automatically identified language' WHEN k LIKE 'zh%' THEN 'Chinese' ELSE {_LABEL} END AS source FROM m
+    """,
+    "span_forms": r"""
+        SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(text, chr(173), ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS span_md5, true AS same FROM conversations
+    """,
     "xlsx_translatable": rf"""
         WITH c AS (SELECT p_partkey, regexp_replace(cell, '^\s+|\s+$', '', 'g') AS core, cell, p_partkey % 7 = 0 AS formula
                    FROM (SELECT p_partkey, {_CELL_DUCK} AS cell FROM part))
