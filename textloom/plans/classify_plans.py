@@ -68,7 +68,7 @@ def prompt_labels(spark: SparkSession, sf: str) -> DataFrame:
 def span_forms(spark: SparkSession, sf: str) -> DataFrame:
     """O-148 and O-156: span texts, and whether a text equals itself in other clothes."""
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    other = F.upper(F.replace("text", F.lit(" "), F.lit("  ")))
+    other = F.lower(F.replace("text", F.lit(" "), F.lit("  ")))
     return rows.select("conv_id", "turn", F.md5(lg.span_text(F.col("text")).cast("binary")).alias("span_md5"), lg.nearly_identical(F.col("text"), other).alias("same"))
 
 
