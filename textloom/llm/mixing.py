@@ -192,7 +192,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     return rates
 
 
-def mix(
+def fit(
     df: DataFrame,
     labels: DataFrame,
     targets: dict[str, float] = TARGETS,
@@ -200,12 +200,32 @@ def mix(
     text_col: str = "text",
     budget: float | None = None,
     whole: bool = False,
-) -> tuple[DataFrame, Rates]:
-    """``df`` with the columns member (tokens, p) and rate, and the fit."""
+) -> tuple[DataFrame, Classifier, Rates]:
+    """The table of members (id, tokens, p) of all documents, the classifier and the rates."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     model = fit_classifier(docs, domain_of(labels, id_col))
     members = materialize(with_posteriors(docs, model).drop("text").select("id", "member.*"), "members")
-    rates = fit_rates(members, targets, budget, whole)
+    return members, model, fit_rates(members, targets, budget, whole)
+
+
+def rated(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: id, tokens, p, rate; texts are read once for the posteriors."""
+    members, _, rates = fit(df, labels, targets, id_col, text_col)
+    return members.select(F.col("id").alias(id_col), "tokens", "p", rates.column(F.struct("p")).alias("rate"))
+
+
+def mix(
+    df: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] = TARGETS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    budget: float | None = None,
+    whole: bool = False,
+) -> tuple[DataFrame, Rates]:
+    """``df`` with the columns member (tokens, p) and rate, and the fit. Posteriors are computed again where
+    the rows lie, so texts are not shuffled to meet their rates."""
+    _, model, rates = fit(df, labels, targets, id_col, text_col, budget, whole)
     scored = with_posteriors(df, model, text_col, "member")
     return scored.withColumn("rate", rates.column(F.col("member"))), rates
 

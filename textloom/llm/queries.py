@@ -27,9 +27,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and fitted rates of all documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixed, _ = mixing.mix(documents(spark, sf_dir).select("doc_id", "text"), labels)
-    posteriors = [F.col("member.p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
-    return mixed.select("doc_id", F.col("member.tokens").alias("n_tokens"), *posteriors, "rate")
+    found = mixing.rated(documents(spark, sf_dir), labels)
+    posteriors = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
+    return found.select("doc_id", F.col("tokens").alias("n_tokens"), *posteriors, "rate")
 
 
 def encoded(docs: DataFrame) -> DataFrame:
