@@ -131,20 +131,23 @@ def _linked(
     zx = blocks.rotated(x)
     zy, other = (zx, x) if y is None else (blocks.rotated(y), y)
     own = blocks.slices[block]
-    limit = blocks.budget[block] * (1 + 2 * _SLACK) + 1e-12
+    # |a - b|^2 <= limit as one product of widened vectors; single precision with slack, verified below.
+    limit = blocks.budget[block] * (1 + 1e-4) + 1e-5
     a, b = zx[:, own], zy[:, own]
-    bb = np.einsum("ij,ij->i", b, b)
+    half_a, half_b = np.einsum("ij,ij->i", a, a) / 2, np.einsum("ij,ij->i", b, b) / 2
+    wide_a = np.column_stack([a, -half_a, np.ones(len(a))]).astype(np.float32)
+    wide_b = np.ascontiguousarray(np.column_stack([b, np.ones(len(b)), -half_b]).astype(np.float32).T)
     norm_x = np.sqrt(np.einsum("ij,ij->i", x, x))
     norm_y = np.sqrt(np.einsum("ij,ij->i", other, other))
-    step = max(1, (4 << 20) // max(len(b), 1))
+    step = max(1, (2 << 20) // max(len(b), 1))
     left, right = [], []
     for first in range(0, len(a), step):
-        part = a[first : first + step]
-        near = (np.einsum("ij,ij->i", part, part)[:, None] - limit + bb[None, :]) <= 2 * (part @ b.T)
+        skip = first if y is None else 0  # the triangle only
+        hit = np.flatnonzero((wide_a[first : first + step] @ wide_b[:, skip:]) >= np.float32(-limit / 2))
+        i, j = np.divmod(hit, len(b) - skip)
+        i, j = i + first, j + skip
         if y is None:
-            near &= np.arange(len(b))[None, :] > np.arange(first, first + len(part))[:, None]
-        i, j = np.nonzero(near)
-        i += first
+            i, j = i[j > i], j[j > i]
         for at in range(0, len(i), 65536):
             p, q = i[at : at + 65536], j[at : at + 65536]
             cosine = np.einsum("ij,ij->i", x[p], other[q]) / (norm_x[p] * norm_y[q])
