@@ -31,8 +31,16 @@ from textloom.llm.scratch import materialize
 MIN_WORDS = 5
 
 
+def _plain(text: Column) -> Column:
+    """All blanks but the line end as spaces."""
+    for blank in ("\t", "\x0b", "\x0c", "\r"):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a line of ``_plain`` text; a split at one character needs no pattern."""
+    return F.filter(F.split(line, " ", -1), lambda w: w != "")
 
 
 def _half_keys(words: Column, n: Column) -> Column:
@@ -46,7 +54,7 @@ def _half_keys(words: Column, n: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, line, h1, h2, keys) of every line that is not blank."""
     # The generator's output is computed once; a projection would be copied into every use.
-    split = F.transform(F.split("text", "\n", -1), words_of)
+    split = F.transform(F.split(_plain(F.col("text")), "\n", -1), words_of)
     words = docs.where("id IS NOT NULL").select("id", F.posexplode(split).alias("line", "words")).where(F.size("words") > 0)
     n = F.size("words")
     return words.select(
@@ -121,7 +129,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = distinct.join(some, "h1").groupBy(F.col("first.id").alias("id")).agg(
         F.collect_set("first.line").alias("wanted")
     )
-    held = docs.join(wanted, "id").select("id", "wanted", F.split("text", "\n", -1).alias("content"))
+    held = docs.join(wanted, "id").select("id", "wanted", F.split(_plain(F.col("text")), "\n", -1).alias("content"))
     held = held.select("id", "content", F.explode("wanted").alias("line"))
     held = held.select(F.struct("id", "line").alias("first"), words_of(F.get("content", F.col("line"))).alias("words"))
     held = materialize(
@@ -130,10 +138,10 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         "near-lines",
     )
     keyed = held.select("first.*", _variants(F.col("words")).alias("v"))
-    variants = materialize(keyed.select("id", "line", F.posexplode("v.less").alias("place", "key")), "variants")
-    first = F.struct("id", "line").alias("first")
-    variants = variants.select(first, "place", "key.*")
-    whole = keyed.select(first, "v.whole.*")
+    hashes = F.concat(F.array("v.whole"), F.col("v.less"))
+    every = materialize(keyed.select("id", "line", F.posexplode(hashes).alias("place", "key")), "variants")
+    every = every.select(F.struct("id", "line").alias("first"), "place", "key.*")
+    variants, whole = every.where("place > 0"), every.where("place = 0").drop("place")
     key = ["v1", "v2"]
     # A replaced word: the earliest line with this variant at this place.
     least = variants.groupBy(*key, "place").agg(F.min("first").alias("other"), F.count(F.lit(1)).alias("many"))
