@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from textloom.llm import jaccard_join, line_dedup, mixing, quality, queries, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Shares of tokens after the quality stage, which leaves next to nothing of the low domain.
+#: Shares of tokens after the quality stage, which leaves next to nothing of the low domain. Clean documents
+#: stay on any input: the others shrink to these shares beside them, or stay short of them.
 TARGETS = {"clean": 0.94, "low": 0.0, "toxic": 0.06}
 _last = [0]
 
@@ -57,7 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents resampled to the target shares of tokens."""
+    """Documents resampled to at most the target shares of tokens beside the clean ones, which stay."""
     return mixing.resample(docs, _labels(spark, sf_dir), TARGETS)
 
 

@@ -69,6 +69,31 @@ def test_rates_meet_brute_force(spark):
     assert np.allclose(have / tokens.sum(), [0.6, 0.3, 0.1], atol=5e-3) and (got >= 0).all()
 
 
+def members(spark, shares, n=2000, sure=0.99, seed=2):
+    """Documents of one domain each with the given shares of tokens, and their members."""
+    rng = np.random.default_rng(seed)
+    own = np.repeat(np.arange(3), [max(round(n * s), 1) if s else 0 for s in shares])
+    p = np.full((len(own), 3), (1 - sure) / 2)
+    p[np.arange(len(own)), own] = sure
+    rows = [(int(k), int(t), [float(v) for v in q]) for k, t, q in zip(own, rng.integers(50, 60, len(own)), p)]
+    return spark.createDataFrame(rows, "own int, tokens long, p array<double>")
+
+
+def mean_rates(df, rates):
+    found = df.select("own", "tokens", rates.column(F.struct("tokens", "p")).alias("rate")).toPandas()
+    assert (found.rate >= 0).all()
+    return found, {k: g.rate.mean() for k, g in found.groupby("own")}
+
+
+@pytest.mark.parametrize("toxic", [0.0005, 0.01, 0.03, 0.05, 0.15])
+def test_whole_budget_keeps_clean_documents(spark, toxic):
+    df = members(spark, [1 - toxic, 0, toxic], sure=0.9999)
+    found, mean = mean_rates(df, mixing.fit_rates(df, corpus_pipeline.TARGETS, whole=True))
+    assert mean[0] >= 0.99 and (found.rate <= 1).all()
+    share = (found.rate * found.tokens)[found.own == 2].sum() / (found.rate * found.tokens).sum()
+    assert abs(share - min(toxic, 0.06)) < 3e-3
+
+
 def test_copies_have_the_rate_as_mean(spark):
     n = spark.range(4000).select(mixing.copies(F.lit(1.3), F.col("id")).alias("n")).agg(F.avg("n")).first()[0]
     assert abs(n - 1.3) < 0.05

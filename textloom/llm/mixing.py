@@ -134,6 +134,7 @@ class Rates:
     step: float
     directions: list[list[float]]
     ridge: float
+    anchor: int | None = None
 
     def column(self, member: Column) -> Column:
         rate = F.lit(1.0)
@@ -147,12 +148,17 @@ class Rates:
             if v:
                 slope = slope + p[i] * v
         shrink = self.step * self.ridge
-        return F.greatest(F.lit(0.0), rate * (1 - shrink) + shrink - slope * self.step)
+        moved = rate * (1 - shrink) + shrink - slope * self.step
+        if self.anchor is None:
+            return F.greatest(F.lit(0.0), moved)
+        return F.least(F.lit(1.0), F.greatest(p[self.anchor], moved))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, whole: bool = False) -> Rates:
     """``members``: tokens, p. Expected tokens of domain k become targets[k] of the budget (default: all
-    tokens; with ``whole`` the largest budget for which no domain needs a rate above 1)."""
+    tokens). With ``whole`` the domain with the largest target sets the budget at its own tokens and stays;
+    domains with more than their target shrink to it, scarcer ones stay as they are, short of it. Rates then
+    lie between the posterior of that domain and 1, so no other domain takes its documents away."""
     k = len(DOMAINS)
     sums = [F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]
     grams = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
@@ -168,8 +174,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     weight = weight / weight.sum()
     total = have[live].sum() if budget is None else budget
     if whole:
-        total = float((have[live] / weight[live]).min())
+        rates.anchor = int(live[np.argmax(weight[live])])
+        total = float(have[rates.anchor] / weight[rates.anchor])
     goal = weight * total
+    if whole:
+        goal = np.minimum(goal, have)
     inverse = np.linalg.pinv(gram[np.ix_(live, live)], rcond=1e-9)
     current = members.select("tokens", "p", F.lit(1.0).alias("rate"))
     reached = have
@@ -245,7 +254,8 @@ def resample(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``df``, each as often as its rate says, with a budget that repeats no domain."""
+    """The rows of ``df``, each as often as its rate says, with a budget that repeats no row and keeps
+    the domain with the largest target (``fit_rates`` with ``whole``)."""
     mixed, _ = mix(df, labels, targets, id_col, text_col, whole=True)
     many = copies(F.col("rate"), F.col(f"`{id_col}`"))
     repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), many)))
