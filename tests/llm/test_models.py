@@ -94,6 +94,22 @@ def test_whole_budget_keeps_clean_documents(spark, toxic):
     assert abs(share - min(toxic, 0.06)) < 3e-3
 
 
+def test_a_target_of_zero_is_a_goal(spark):
+    df = members(spark, [0.78, 0.11, 0.11], sure=0.9999)
+    found, mean = mean_rates(df, mixing.fit_rates(df, corpus_pipeline.TARGETS))
+    shares = (found.rate * found.tokens).groupby(found.own).sum() / (found.rate * found.tokens).sum()
+    assert np.allclose(shares, [0.94, 0, 0.06], atol=3e-3)
+    assert mean_rates(df, mixing.fit_rates(df, corpus_pipeline.TARGETS, whole=True))[1][1] < 0.01
+
+
+@pytest.mark.parametrize("low", [0.002, 0.0005])
+def test_rare_domains_reach_their_targets(spark, low):
+    df = members(spark, [0.9 - low, low, 0.1], n=4000, sure=1.0)
+    found, _ = mean_rates(df, mixing.fit_rates(df, mixing.TARGETS))
+    shares = (found.rate * found.tokens).groupby(found.own).sum() / found.tokens.sum()
+    assert np.allclose(shares, [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=1e-3)
+
+
 def test_copies_have_the_rate_as_mean(spark):
     n = spark.range(4000).select(mixing.copies(F.lit(1.3), F.col("id")).alias("n")).agg(F.avg("n")).first()[0]
     assert abs(n - 1.3) < 0.05

@@ -5,13 +5,16 @@
    the others. Its features are the dense ones and the presence of the ``CHOSEN`` most telling words.
 2. Every document gets posteriors of the domains and its number of words as tokens.
 3. Rates r >= 0 are fitted by projected gradient on |B'r - t|^2 / 2 + ``RIDGE`` |r - 1|^2 / 2, where B
-   holds the expected domain tokens of the documents, t the targets, the misfit is measured by the
-   inverse of the domains' Gram matrix (so that every domain weighs alike, however they overlap), and the
-   distance from 1 counts by tokens (so that rates do not depend on length). Each step is one distributed sum of a few numbers: a document's rate follows from its own
-   posteriors and the residuals of the steps so far, so no rate ever leaves its row.
+   holds the expected domain tokens of the documents, t the targets, a domain's misfit is squared over its
+   expected tokens (so that traces of a domain without documents of its own move no others), and the
+   distance from 1 counts by tokens (so that rates do not depend on length). At its minimum a rate is 1
+   plus the document's posteriors times one multiplier a domain, projected to its bounds; the steps go
+   along the gradient in the multipliers, scaled by the Gram matrix of the documents that no bound holds.
+   Each step is one distributed sum of a few numbers, so no rate ever leaves its row.
 
-A domain with a target of 0 or with less than ``LEAST_SHARE`` of the expected tokens is left
-out (rates cannot bring it to a target) and the other targets are scaled up (the same at every size of input).
+Every domain with expected tokens is in the fit: a target of 0 is a goal of 0, and a rare domain is raised
+by rates above 1. Only domains without any tokens are left out, and the other targets scaled up; if no
+domain with a target above 0 has tokens, rates stay 1.
 
 Defined results: null and empty texts have 0 tokens, and posteriors and a rate like any text; labels with nulls or of unknown ids are not learned; with fewer than two domains among the labels all
 posteriors are the shares of the labels; an empty table gives an empty result; repeated rows get the
@@ -36,7 +39,6 @@ TARGETS = {"clean": 0.90, "low": 0.04, "toxic": 0.06}
 LABELLED = 8000
 CHOSEN = 256
 RIDGE = 1e-4
-LEAST_SHARE = 1e-3
 MAX_STEPS = 40
 TOLERANCE = 1e-5
 
@@ -129,29 +131,46 @@ def with_posteriors(df: DataFrame, model: Classifier, text_col: str = "text", na
 
 @dataclass
 class Rates:
-    """The steps of a fit: a document's rate is an expression on its posteriors."""
+    """A fit: a document's rate is 1 plus its posteriors times the multipliers, projected to its bounds."""
 
-    step: float
-    directions: list[list[float]]
-    ridge: float
+    multipliers: list[float]
     anchor: int | None = None
 
-    def column(self, member: Column) -> Column:
+    def free(self, p: Column) -> Column:
         rate = F.lit(1.0)
-        for direction in self.directions:
-            rate = self.next(rate, member["p"], direction)
+        for i, v in enumerate(self.multipliers):
+            if v:
+                rate = rate + p[i] * v
         return rate
 
-    def next(self, rate: Column, p: Column, direction: list[float]) -> Column:
-        slope = F.lit(0.0)
-        for i, v in enumerate(direction):
-            if v:
-                slope = slope + p[i] * v
-        shrink = self.step * self.ridge
-        moved = rate * (1 - shrink) + shrink - slope * self.step
-        if self.anchor is None:
-            return F.greatest(F.lit(0.0), moved)
-        return F.least(F.lit(1.0), F.greatest(p[self.anchor], moved))
+    def bounds(self, p: Column) -> tuple[Column, Column]:
+        return (F.lit(0.0), F.lit(float("inf"))) if self.anchor is None else (p[self.anchor], F.lit(1.0))
+
+    def column(self, member: Column) -> Column:
+        low, high = self.bounds(member["p"])
+        return F.least(high, F.greatest(low, self.free(member["p"])))
+
+
+def _sums(members: DataFrame, rates: Rates) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected tokens of the domains at these rates, the Gram matrix of the documents whose rate is not at
+    a bound, and the sum of the tokens times the integral of the projection: one pass over the members."""
+    k = len(DOMAINS)
+    p, z = F.col("p"), rates.free(F.col("p"))
+    low, high = rates.bounds(p)
+    rate = rates.column(F.struct("p"))
+    inside = F.when((z > low) & (z < high), F.col("tokens")).otherwise(0)
+    sums = [F.sum(rate * F.col("tokens") * p[i]) for i in range(k)]
+    grams = [F.sum(inside * p[i] * p[j]) for i in range(k) for j in range(k)]
+    area = F.sum(F.col("tokens") * (rate * z - rate * rate / 2))
+    row = members.agg(*[c.alias(f"c{n}") for n, c in enumerate([*sums, *grams, area])]).first()
+    values = np.array([v or 0.0 for v in row], float)
+    return values[:k], values[k:-1].reshape(k, k), float(values[-1])
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse that does not take a small domain for a dependent one."""
+    scale = 1 / np.sqrt(np.maximum(np.diag(matrix), 1e-300))
+    return np.linalg.pinv(matrix * np.outer(scale, scale), rcond=1e-10, hermitian=True) * np.outer(scale, scale)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, whole: bool = False) -> Rates:
@@ -160,44 +179,51 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     domains with more than their target shrink to it, scarcer ones stay as they are, short of it. Rates then
     lie between the posterior of that domain and 1, so no other domain takes its documents away."""
     k = len(DOMAINS)
-    sums = [F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]
-    grams = [F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]
-    row = members.agg(*[c.alias(f"c{n}") for n, c in enumerate([*sums, *grams])]).first()
-    values = np.array([v or 0.0 for v in row], float)
+    one = Rates([0.0] * k)
+    p = F.col("p")
+    products = [F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]
+    first = members.agg(*[c.alias(f"c{n}") for n, c in enumerate([F.sum(F.col("tokens") * p[i]) for i in range(k)] + products)]).first()
+    values = np.array([v or 0.0 for v in first], float)
     have, gram = values[:k], values[k:].reshape(k, k)
-    weight = np.array([targets[d] for d in DOMAINS])
-    weight = np.where(have >= LEAST_SHARE * max(have.sum(), 1e-300), weight, 0)
-    live = np.flatnonzero(weight > 0)
-    rates = Rates(1 / (1 + RIDGE), [], RIDGE)
-    if not len(live):
-        return rates
+    weight = np.where(have > 0, np.array([targets[d] for d in DOMAINS]), 0)
+    if weight.sum() <= 0:
+        return one
+    live = np.flatnonzero(have > 0)
     weight = weight / weight.sum()
-    total = have[live].sum() if budget is None else budget
-    if whole:
-        rates.anchor = int(live[np.argmax(weight[live])])
-        total = float(have[rates.anchor] / weight[rates.anchor])
-    goal = weight * total
+    total = have.sum() if budget is None else budget
+    anchor = None
     if whole:
-        goal = np.minimum(goal, have)
-    inverse = np.linalg.pinv(gram[np.ix_(live, live)], rcond=1e-9)
-    current = members.select("tokens", "p", F.lit(1.0).alias("rate"))
-    reached = have
-    for step in range(MAX_STEPS):
-        miss = (reached - goal)[live]
-        if np.abs(miss).max() <= TOLERANCE * goal.max():
-            break
-        direction = np.zeros(k)
-        direction[live] = inverse @ miss
-        rates.directions.append(direction.tolist())
-        moved = rates.next(F.col("rate"), F.col("p"), rates.directions[-1])
-        current = current.select("tokens", "p", moved.alias("rate"))
-        if step % 8 == 7:  # keep the expression short
-            current = materialize(current, "rates")
-        sums = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
-        new = np.array([v or 0.0 for v in current.agg(*sums).first()])
-        if np.abs(new - reached).max() <= 1e-7 * goal.max():
+        scale = np.sqrt(np.diag(gram)[live])
+        if np.linalg.matrix_rank(gram[np.ix_(live, live)] / np.outer(scale, scale), tol=1e-9) < 2:
+            return one  # the posteriors are all alike: no rates change the shares
+        anchor = int(np.argmax(weight))
+        total = float(have[anchor] / weight[anchor])
+    goal = np.minimum(weight * total, have) if whole else weight * total
+
+    def state(multipliers: np.ndarray) -> tuple[Rates, np.ndarray, np.ndarray, float]:
+        rates = Rates(multipliers.tolist(), anchor)
+        reached, inside, area = _sums(members, rates)
+        ridge = RIDGE * have * multipliers
+        return rates, reached - goal + ridge, inside, area - goal @ multipliers + multipliers @ ridge / 2
+
+    at, length, fresh = np.zeros(k), 1.0, True
+    rates, slope, inside, value = state(at)
+    for _ in range(MAX_STEPS):
+        if np.abs(slope).max() <= TOLERANCE * goal.max():
             break
-        reached = new
+        if fresh:
+            move = np.zeros(k)
+            move[live] = -_inverse((inside + RIDGE * np.diag(have))[np.ix_(live, live)]) @ slope[live]
+            length = 1.0
+            if -(slope @ move) <= 1e-9 * have.sum():
+                break
+        tried = state(at + length * move)
+        fresh = tried[3] <= value + 1e-4 * length * (slope @ move) + 1e-12 * abs(value)
+        if fresh:
+            at = at + length * move
+            rates, slope, inside, value = tried
+        else:
+            length /= 4
     return rates
 
 
