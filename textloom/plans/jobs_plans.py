@@ -83,7 +83,7 @@ def enum_remap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def options_json(spark: SparkSession, sf: str) -> DataFrame:
-    """O-168 to O-170: tolerant read of JSON columns, defaults, checked languages."""
+    """O-168 and O-170: tolerant read of JSON columns, checked languages."""
     rows = _view(spark, sf, "events", "event_id; CASE WHEN event_id % 9 = 0 THEN substr(props, 2) ELSE props END AS raw; CASE event_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN '' WHEN 2 THEN ' en ' ELSE 'fr' END AS lang")
     parsed = F.from_json("raw", "page string, ref string")
     language = F.when(~F.trim("lang").isin("", "auto"), F.trim("lang"))

@@ -71,7 +71,7 @@ def axis_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rect_union(spark: SparkSession, sf: str) -> DataFrame:
-    """O-144, and the coverage of O-143."""
+    """O-144, and the coverage of O-143 without its text gate."""
     area = lo.union_area(_areas(spark, sf).select("page", "x1", "y1", "x2", "y2"), ["page"])
     return area.select("page", F.round("area", 3).alias("area"), (F.col("area") / (600.0 * 800.0) >= 0.5).alias("covered"))
 
@@ -90,7 +90,7 @@ def median_fonts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preserve_partition(spark: SparkSession, sf: str) -> DataFrame:
-    """O-142: pages whose spans are all numbers of the small kind, survivors renumbered."""
+    """Part of O-142 (by text length only): pages whose spans are all numbers of the small kind, survivors renumbered."""
     from pyspark.sql import Window
 
     kept = _boxes(spark, sf).groupBy("page").agg(F.bool_and(F.length("text") == 1).alias("preserved"), F.count(F.lit(1)).alias("spans"))
@@ -100,7 +100,7 @@ def preserve_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """O-155: distinct texts of a page with where each is first seen."""
+    """Part of O-155: distinct texts of a page with where each is first seen, without characters per script."""
     return _boxes(spark, sf).groupBy("page", "text").agg(F.min("span_id").alias("first_span"))
 
 
@@ -127,7 +127,7 @@ def block_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def apply_translations(spark: SparkSession, sf: str) -> DataFrame:
-    """O-150: a cell's translation goes to its first span, its siblings are blanked."""
+    """Part of O-150: a cell's text goes to its first span, its siblings are blanked; no translations are joined."""
     from pyspark.sql import Window
 
     rows = _boxes(spark, sf).withColumn("cell", F.col("span_id") % 3)
