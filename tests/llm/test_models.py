@@ -116,6 +116,11 @@ def test_copies_have_the_rate_as_mean(spark):
     assert spark.range(100).select(mixing.copies(F.lit(0.995), F.col("id")).alias("n")).agg(F.min("n")).first()[0] == 1
 
 
+def test_small_rates_keep_some_documents(spark):
+    n = spark.range(40000).select(mixing.copies(F.lit(0.008), F.col("id")).alias("n")).agg(F.avg("n")).first()[0]
+    assert abs(n - 0.008) < 0.002
+
+
 def test_mixing_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "x y", "c")], "doc_id long, text string, rate string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -267,8 +267,8 @@ def mix(
 
 def copies(rate: Column, key: Column) -> Column:
     """A whole number of copies with the rate as its mean, by a hash of the key; a rate within one
-    hundredth of a whole number counts as it."""
-    near = F.when(F.abs(rate - F.round(rate)) <= 0.01, F.round(rate)).otherwise(rate)
+    hundredth of 1 or a greater whole number counts as it, small ones are drawn as they are."""
+    near = F.when((F.round(rate) >= 1) & (F.abs(rate - F.round(rate)) <= 0.01), F.round(rate)).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 30)) / float(1 << 30)
     return F.floor(near + draw).cast("int")
 
