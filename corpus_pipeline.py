@@ -51,10 +51,17 @@ def near_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id, once if its row is repeated
+    (rows without an id stay)."""
     groups = jaccard_join.join(docs.select("doc_id", "text"))
     extra = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(extra.hint("merge"), "doc_id", "left_anti")
+    keys = {
+        "__h1": F.xxhash64("text"),
+        "__h2": F.xxhash64(F.lit(7), "text"),
+        "__alone": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()),
+    }
+    return kept.withColumns(keys).dropDuplicates(["doc_id", *keys]).select(docs.columns)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,14 @@ def test_pipeline_stages(spark):
     assert {r.doc_id: r.decoded_sha256 for r in last} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in kept.items()}
 
 
+def test_near_duplicates_keeps_repeated_rows_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, "alone here"), (3, "alone here"), (4, None), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()), key=repr)
+    assert got == sorted([(1, text), (3, "alone here"), (4, None), (None, "no id"), (None, "no id")], key=repr)
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
