@@ -330,3 +330,10 @@ def test_pii_model_is_right_on_held_out_sentences(spark):
     wrong = sum(added[n] and not y for n, y in truth.items())
     found = sum(added[n] and y for n, y in truth.items())
     assert wrong <= 0.02 * max(found, 1) and found >= 0.5 * sum(truth.values())
+
+
+def test_pii_chain_of_overlaps_keeps_both_ends(spark):
+    rows = [([("phone", 0, 10, 3.0), ("card", 8, 20, 2.0), ("phone", 18, 30, 1.0)],), ([("ip", 4, 9, 1.0)],), ([],)]
+    df = spark.createDataFrame(rows, "spans array<struct<kind:string,start:long,end:long,score:double>>")
+    got = [sorted((s.start, s.end) for s in r[0]) for r in df.select(pii.apart(F.col("spans"))).collect()]
+    assert got == [[(0, 10), (18, 30)], [(4, 9)], []]

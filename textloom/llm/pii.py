@@ -251,6 +251,20 @@ def model(spark: SparkSession, n: int = EXAMPLES) -> tuple[list, dict[str, float
     return _models[n]
 
 
+def apart(spans: Column) -> Column:
+    """The spans (start, end, kind, score) that no better one kept overlaps: by falling score, then start."""
+    ordered = F.transform(
+        F.array_sort(F.transform(spans, lambda x: F.struct((-x["score"]).alias("s"), x["start"], x["end"], x["kind"], x.alias("x")))),
+        lambda o: o["x"],
+    )
+
+    def step(kept: Column, x: Column) -> Column:
+        clash = F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.when(clash, kept).otherwise(F.array_append(kept, x))
+
+    return F.when(F.size(spans) > 1, F.aggregate(ordered, F.slice(spans, 1, 0), step)).otherwise(spans)
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, text, base (array of kind, start, end, text) and spans (all, with
     score; null for base spans), both by kind as listed and then start."""
@@ -269,12 +283,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 out = out | ((x["kind"] == kind) & (x["score"] >= threshold))
         return out
 
-    def beaten(x: Column, y: Column) -> Column:
-        better = (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (y["start"] < x["start"]))
-        return better & (y["start"] < x["end"]) & (x["start"] < y["end"])
-
     rows = rows.withColumn("proposed", F.filter(F.transform("proposed", scored), selected))
-    rows = rows.withColumn("added", F.filter("proposed", lambda x: ~F.exists("proposed", lambda y: beaten(x, y))))
+    rows = rows.withColumn("added", apart(F.col("proposed")))
 
     def plain(x: Column, score: Column) -> Column:
         return F.struct(
