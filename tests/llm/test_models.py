@@ -161,6 +161,18 @@ def test_vector_join(spark):
     assert vector_join.join(df.limit(0)).count() == 0
 
 
+def test_vector_join_of_two_lengths(spark):
+    rng = np.random.default_rng(5)
+    sets = {dims: (rng.standard_normal((6, dims))[rng.integers(6, size=n)] + 0.1 * rng.standard_normal((n, dims))).tolist() for dims, n in ((12, 60), (7, 25))}
+    vectors = sets[12] + sets[7] + [sets[7][0], [0.0] * 7, [1.0, 2.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r[0]: tuple(r[1:]) for r in vector_join.join(df, block_dims=5, tile=20).collect()}
+    ids = list(range(len(vectors)))
+    long, short = brute_vectors(ids, vectors, 12), brute_vectors(ids, vectors, 7)
+    assert got == {i: (long if len(v) == 12 else short)[i] for i, v in enumerate(vectors)}
+    assert sum(got[i][0] > 0 for i in ids[60:85]) > 0
+
+
 def test_op10_over_embeddings(spark):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
     got = {r[0]: tuple(r[1:]) for r in queries.op10_vector_join(spark, SMALL).collect()}

@@ -12,9 +12,10 @@ proportion to its dimensions, so a linked pair is within its share in one block
    whole vectors and counts a pair in the first block whose share it meets, hence once. It returns per
    class the number of links and the smallest id reached, never the pairs.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, and those whose
-length is not the most frequent one, link with nothing, not even with copies; equal vectors count as
-links; an id stands for one row (rows that repeat an id whole count as copies); rows with a null id
+Vectors of each length are joined apart, with a rotation and blocks of their own.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing,
+not even with copies; vectors of unequal length do not link; equal vectors count as links; an id stands for one row (rows that repeat an id whole count as copies); rows with a null id
 link with nothing and are not kept; an empty table gives an empty result.
 """
 
@@ -189,12 +190,20 @@ def join(
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < huge))
     usable = F.coalesce(finite & F.exists("vector", lambda v: v != 0) & F.col("id").isNotNull(), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    common = rows.where("usable").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return _result(rows.withColumn("component", F.col("id")).withColumn("links", F.lit(0)), id_col)
-    blocks = Blocks(common["n"], threshold, block_dims)
-    rows = rows.withColumn("usable", F.col("usable") & (F.size("vector") == common["n"]))
-    classes = rows.where("usable").groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # A vector alone in its length has nothing to link with.
+    sizes = rows.where("usable").groupBy(F.size("vector").alias("n")).count().where("count > 1")
+    lengths = sorted(r["n"] for r in sizes.collect())
+    rows = rows.withColumn("usable", F.col("usable") & F.size("vector").isin(lengths))
+    out = rows.where("NOT usable").select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("links"))
+    for n in lengths:
+        own = rows if len(lengths) == 1 else rows.where(F.size("vector") == n)
+        out = _joined(own.where("usable"), Blocks(n, threshold, block_dims), tile).unionByName(out)
+    return _result(out, id_col)
+
+
+def _joined(rows: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
+    """(id, component, links) of usable vectors of one length."""
+    classes = rows.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = materialize(classes.select(F.col("rep").alias("id"), "copies", "vector").dropDuplicates(["id"]), "vectors")
     dealt = _tiles(reps, blocks, tile).join(reps, "id").select("tile", "block", "side", "id", "copies", "vector")
     dealt = dealt.repartition("tile").sortWithinPartitions("tile", "side", "id")
@@ -240,9 +249,7 @@ def join(
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         )
     )
-    linked = rows.where("usable").join(of_class, "vector").select("id", "component", "links")
-    alone = rows.where("NOT usable").select("id", F.col("id").alias("component"), F.lit(0).alias("links"))
-    return _result(linked.unionByName(alone), id_col)
+    return rows.join(of_class, "vector").select("id", "component", "links")
 
 
 def _result(found: DataFrame, id_col: str) -> DataFrame:
