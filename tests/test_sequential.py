@@ -25,17 +25,50 @@ def test_overlap_filter(spark):
     assert kept == {(1, 0), (1, 4), (2, 0), (3, 0)}
 
 
-def test_protection():
+def protected(spark, text):
+    r = md.protect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    return r.working, [(x.mark, x.content) for x in r.spans], r.context, r.restored
+
+
+def restored(spark, working, pairs):
+    spans = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(c).alias("content")) for m, c in pairs])
+    return value(spark, md.restore(F.lit(working), spans))
+
+
+def test_protection(spark):
     text = "---\ntitle: Keep\n---\n\n# Hello\n\nSee [docs](https://example.com/a_(b)) and `x`.\n\n```py\nprint('Keep')\n```\n"
-    working, pairs, context = md.protect_text(text)
+    working, pairs, context, same = protected(spark, text)
     assert [m for m, _ in pairs] == [
         "%%PROTECTED_FRONT_MATTER_0000%%", "%%PROTECTED_CODE_BLOCK_0001%%", "%%PROTECTED_INLINE_CODE_0002%%", "%%PROTECTED_LINK_DEST_0003%%",
     ]
     assert pairs[3][1] == "https://example.com/a_(b)"
     assert context == ["--- title: Keep ---", "```py print('Keep') ```"]
-    assert md.restore_text(working, pairs) == text
-    assert md.restore_text(working.replace(pairs[1][0], ""), pairs) is None
-    assert md.protect_text("[a](b")[1] == [] and md.protect_text(r"[a](b\)c)")[1][0][1] == r"b\)c"
+    assert same and restored(spark, working, pairs) == text
+    assert restored(spark, working.replace(pairs[1][0], ""), pairs) is None
+    assert protected(spark, "[a](b")[1] == [] and protected(spark, r"[a](b\)c)")[1][0][1] == r"b\)c"
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("", []), (None, []), ("plain", []), ("[a](b) [c](d(e)f) [g](h", ["b", "d(e)f"]), (r"\[a](b\\) x", [r"b\\"]), ("[a](x](y) z) w", ["x](y) z"]),
+        ("    code\n\tmore\ntext\n    again", ["    code\n\tmore\n", "    again"]), ("~~~\na\n~~~\n```\nb\n``` \n", ["~~~\na\n~~~\n", "```\nb\n``` \n"]),
+        ("<div>\nx\n\ny", ["<div>"]), ("[ref]: http://x y\nz `c` `d`", ["[ref]: http://x y", "`c`", "`d`"]), ("---\nno end", []),
+    ],
+)
+def test_protected_kinds(spark, text, expected):
+    working, pairs, _, same = protected(spark, text)
+    assert [c for _, c in pairs] == expected
+    assert same == (not any("%%" in c for _, c in pairs))
+    for mark, content in reversed(pairs):
+        working = working.replace(mark, content)
+    assert working == (text or "")
+
+
+def test_protection_of_a_long_block(spark):
+    text = "    code line\n" * 20_000 + "end"
+    _, pairs, _, same = protected(spark, text)
+    assert same and [len(c) for _, c in pairs] == [len(text) - 3]
 
 
 @pytest.mark.parametrize(
