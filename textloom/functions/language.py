@@ -307,3 +307,28 @@ def script_runs(text: Column, default: str = "en") -> Column:
         F.array_append(s["out"], F.struct(s["run"].alias("text"), s["script"].alias("script")))
     )
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, finish)
+
+
+# Names of target languages and the fonts' language that serves them; others have zh.
+FONT_LANGUAGES = {
+    "zh": ("中文", "简体中文", "chinese", "simplified chinese", "zh", "zh-cn", "zh_cn"),
+    "zh-tw": ("繁体中文", "繁體中文", "繁体中文（台湾）", "繁體中文（台灣）", "traditional chinese", "traditional chinese (taiwan)", "zh-tw", "zh_tw"),
+    "zh-hk": ("繁体中文（香港）", "繁體中文（香港）", "traditional chinese (hong kong)", "zh-hk", "zh_hk"),
+    "ja": ("日文", "日语", "japanese", "ja"),
+    "ko": ("韩文", "韩语", "korean", "ko"),
+    "en": (
+        "英文", "英语", "english", "en", "法文", "法语", "french", "fr", "德文", "德语", "german", "de", "西班牙文", "西班牙语", "spanish", "es",
+    ),
+    "ru": ("俄文", "俄语", "russian", "ru"),
+    "bn": ("孟加拉语", "孟加拉文", "bengali", "bn"),
+    "km": ("柬埔寨语", "柬埔寨文", "高棉语", "khmer", "km"),
+    "vi": ("越南语", "越南文", "vietnamese", "vi"),
+}
+
+
+def font_language(name: Column) -> Column:
+    """The fonts' language of a target language's name (O-44)."""
+    plain, out = strip(F.lower(name)), F.lit("zh")
+    for code, names in FONT_LANGUAGES.items():
+        out = F.when(plain.isin(*names), code).otherwise(out)
+    return out

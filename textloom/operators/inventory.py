@@ -127,3 +127,9 @@ def pack_progress(assets: DataFrame) -> DataFrame:
 def select_assets(assets: DataFrame, ids: list[str], packs: list[str]) -> DataFrame:
     """Assets with a requested id or pack; all if nothing is requested (O-191)."""
     return assets.where(F.col("id").isin(ids) | F.col("pack").isin(packs)) if ids or packs else assets
+
+
+def listed(models: DataFrame) -> DataFrame:
+    """Models with their place in the list of their provider: enabled ones first, then by id (O-186)."""
+    order = Window.partitionBy("provider").orderBy(F.desc("enabled"), "model_id")
+    return models.withColumn("place", F.row_number().over(order).cast("long"))

@@ -95,3 +95,38 @@ def history_filter(df: DataFrame, status: str | None, needle: str) -> DataFrame:
     kept = df if status is None else df.where(F.col("status").isin("queued", "running") if status == "running" else F.col("status") == status)
     text = F.lit(needle.strip().lower())
     return kept.where(F.contains(F.lower("source_name"), text) | F.contains(F.lower("model_id"), text))
+
+
+def create(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """Jobs with the requested ones as queued (O-160). A request with the id of a job is not taken."""
+    fresh = requests.join(jobs, "id", "left_anti")
+    fresh = fresh.withColumns({"status": F.lit("queued"), "progress": F.lit(0).cast("long"), "created_at": now, "updated_at": now})
+    return jobs.unionByName(fresh, allowMissingColumns=True)
+
+
+def upsert_front(jobs: DataFrame, key: str, place: str, fresh: DataFrame) -> DataFrame:
+    """The list with the fresh rows (place: the order of arrival) in front, the last first, and without older rows of
+    their ids (O-197)."""
+    rows = jobs.withColumn("__at", -F.col(place) - 1).unionByName(fresh.withColumn("__at", F.col(place)))
+    last = latest(rows, [key], [F.desc("__at")])
+    return last.withColumn(place, (F.row_number().over(Window.orderBy(F.desc("__at"))) - 1).cast("long")).drop("__at")
+
+
+# The options of each kind of document with their defaults.
+OPTIONS = {"docx": {"translate_tables": True, "bilingual": False}, "pptx": {"translate_tables": True, "translate_notes": True}, "pdf": {"bilingual": False}}
+
+
+def document_options(kind: Column, given: Column, options: dict[str, Column]) -> tuple[dict[str, Column], Column]:
+    """Options with the defaults of their kind of document, and an error code (O-169). ``given`` is the kind that the
+    options were made for, null without options; other kinds than the document's, and options of kinds that
+    have none, are errors."""
+    known = kind.isin(*OPTIONS)
+    wrong = given.isNotNull() & (~known | (given != kind))
+    out = {}
+    for name, value in options.items():
+        column = F.lit(None).cast("boolean")
+        for k, defaults in OPTIONS.items():
+            if name in defaults:
+                column = F.when((kind == k) & ~wrong, F.coalesce(F.when(given.isNotNull(), value), F.lit(defaults[name]))).otherwise(column)
+        out[name] = column
+    return out, F.when(wrong, "invalid_document_options")

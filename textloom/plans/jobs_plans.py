@@ -135,7 +135,7 @@ def manual_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    """O-184 and O-186 (order by enabled, then id, is the reader's)."""
+    """O-184."""
     return inv.overlay(_current(spark, sf), _items(spark, sf))
 
 

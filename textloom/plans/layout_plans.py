@@ -89,16 +89,6 @@ def median_fonts(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes(spark, sf).groupBy("page", "colour").agg(F.round(F.median("size"), 6).alias("median_size"))
 
 
-def preserve_partition(spark: SparkSession, sf: str) -> DataFrame:
-    """Part of O-142 (by text length only): pages whose spans are all numbers of the small kind, survivors renumbered."""
-    from pyspark.sql import Window
-
-    kept = _boxes(spark, sf).groupBy("page").agg(F.bool_and(F.length("text") == 1).alias("preserved"), F.count(F.lit(1)).alias("spans"))
-    group = F.pmod("page", F.lit(64)).alias("part")
-    rows = kept.where("NOT preserved").select(group, "page", "spans")
-    return rows.withColumn("block", (F.row_number().over(Window.partitionBy("part").orderBy("page")) - 1).cast("long"))
-
-
 def distinct_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Part of O-155: distinct texts of a page with where each is first seen, without characters per script."""
     return _boxes(spark, sf).groupBy("page", "text").agg(F.min("span_id").alias("first_span"))
@@ -126,18 +116,9 @@ def block_groups(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def apply_translations(spark: SparkSession, sf: str) -> DataFrame:
-    """Part of O-150: a cell's text goes to its first span, its siblings are blanked; no translations are joined."""
-    from pyspark.sql import Window
-
-    rows = _boxes(spark, sf).withColumn("cell", F.col("span_id") % 3)
-    first = F.row_number().over(Window.partitionBy("page", "cell").orderBy("span_id")) == 1
-    return rows.select("page", "span_id", F.when(first, F.concat(F.lit("T"), F.col("cell").cast("string"))).otherwise("").alias("text"))
-
-
 QUERIES = {f.__name__: f for f in (
-    overlap_match, detection_filter, container_prune, axis_merge, axis_intervals, rect_union, dominant_style, median_fonts, preserve_partition,
-    distinct_texts, line_clusters, layout_filter, block_groups, apply_translations,
+    overlap_match, detection_filter, container_prune, axis_merge, axis_intervals, rect_union, dominant_style, median_fonts,
+    distinct_texts, line_clusters, layout_filter, block_groups,
 )}
 
 _DUCK_SPAN = ", ".join(e.replace(" as string)", " AS VARCHAR)") for e in _SPAN)
@@ -178,9 +159,6 @@ ORACLE = {
         SELECT page, round(sum(greatest(y2 - greatest(coalesce(top, y1), y1), 0) * (rt - l)), 3) AS area, sum(greatest(y2 - greatest(coalesce(top, y1), y1), 0) * (rt - l)) / 480000.0 >= 0.5 AS covered FROM q GROUP BY page""",
     "dominant_style": _BASE + f" SELECT page, colour, face FROM {_MODE('colour', 'greatest(length(trim(text)), 1)')} JOIN {_MODE('face', '1')} USING (page)",
     "median_fonts": _BASE + " SELECT page, colour, round(median(size), 6) AS median_size FROM s GROUP BY page, colour",
-    "preserve_partition": _BASE + """
-        , k AS (SELECT page, count(*) AS spans FROM s GROUP BY page HAVING NOT bool_and(length(text) = 1))
-        SELECT page % 64 AS part, page, spans, row_number() OVER (PARTITION BY page % 64 ORDER BY page) - 1 AS block FROM k""",
     "distinct_texts": _BASE + " SELECT page, text, min(span_id) AS first_span FROM s GROUP BY page, text",
     "line_clusters": _BASE + """
         , t AS (SELECT page, greatest(2.0, median(size) * 0.4) AS tol FROM s GROUP BY page),
@@ -191,8 +169,20 @@ ORACLE = {
                      CASE WHEN abs(cy - mean) <= tol THEN (mean * cnt + cy) / (cnt + 1) ELSE cy END
               FROM f JOIN n ON n.page = f.page AND n.rn = f.rn + 1)
         SELECT page, span_id, CAST(line AS BIGINT) AS line, row_number() OVER (PARTITION BY page ORDER BY line, x1, span_id) AS place FROM f""",
+    "layout_filter": _BASE + """
+        , k AS (SELECT *, count(*) OVER (PARTITION BY page) AS many, (x2 - x1) * (y2 - y1) AS area FROM r WHERE label <> 'reference'),
+        fit AS (SELECT * FROM k WHERE x2 - x1 >= 6 AND y2 - y1 >= 6 AND NOT (label = 'image' AND many > 1 AND area > 0.93 * 480000)),
+        o AS (SELECT a.page, a.layout_id AS i, b.layout_id AS j, a.label AS p, b.label AS q, a.area AS u, b.area AS v,
+                     greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / least(a.area, b.area) AS share
+              FROM fit a JOIN fit b ON a.page = b.page AND a.layout_id < b.layout_id),
+        l AS (SELECT page, i, j, CASE WHEN share > 0.5 AND 'inline_formula' IN (p, q) THEN list_filter([CASE WHEN p = 'inline_formula' THEN i END, CASE WHEN q = 'inline_formula' THEN j END], lambda x: x IS NOT NULL)
+                     WHEN share > 0.7 AND NOT (p <> q AND len(list_intersect([p, q], ['image', 'table', 'seal', 'chart'])) >= CASE WHEN 'table' IN (p, q) THEN 2 ELSE 1 END) THEN CASE WHEN u >= v THEN [j] ELSE [i] END END AS losers FROM o),
+        n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY i, j) AS rn FROM l WHERE losers IS NOT NULL),
+        f AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS gone FROM n
+              UNION ALL SELECT f.page, n.rn, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE gone || losers END FROM f JOIN n ON n.page = f.page AND n.rn = f.rn + 1),
+        z AS (SELECT page, arg_max(gone, rn) AS gone FROM f GROUP BY page)
+        SELECT fit.page, layout_id, label FROM fit LEFT JOIN z USING (page) WHERE gone IS NULL OR NOT list_contains(gone, layout_id)""",
     "block_groups": _BASE + _MATCH + """
         SELECT s.page, layout_id, coalesce(label, 'zzz_none') AS label, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, string_agg(text, ' ' ORDER BY span_id, text) AS texts
         FROM s LEFT JOIN m USING (page, span_id) GROUP BY s.page, layout_id, coalesce(label, 'zzz_none')""",
-    "apply_translations": _BASE + " SELECT page, span_id, CASE WHEN row_number() OVER (PARTITION BY page, span_id % 3 ORDER BY span_id) = 1 THEN 'T' || (span_id % 3) ELSE '' END AS text FROM s",
 }
