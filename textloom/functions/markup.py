@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import let
 from textloom.functions.text import strip
 
 SPAN = r"(?s)<span>(.*?)</span>"
@@ -73,17 +74,17 @@ def valid_document(candidate: Column, source: Column) -> Column:
 
 def slide_values(text: Column) -> Column:
     """Contents of the spans if the text is nothing but spans, else null."""
-    values = spans(text)
     rest = F.regexp_replace(text, SPAN, "")
     loose = lambda t: F.contains(t, F.lit("<span")) | F.contains(t, F.lit("</span"))
-    return F.when((F.size(values) > 0) & blank(rest) & ~loose(rest) & ~F.exists(values, loose), values)
+    pure = lambda values: F.when((F.size(values) > 0) & let(rest, lambda r: blank(r) & ~loose(r)) & ~F.exists(values, loose), values)
+    return let(spans(text), pure)
 
 
 def valid_slide(candidate: Column, source: Column) -> Column:
     """Pure spans, equally many, space marks at the same places (O-74)."""
-    a, b = slide_values(source), slide_values(candidate)
-    same = F.forall(F.zip_with(a, b, lambda x, y: (x == SPACE_MARK) == (y == SPACE_MARK)), lambda x: F.coalesce(x, F.lit(False)))
-    return F.coalesce((F.size(a) == F.size(b)) & same, F.lit(False))
+    marks = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: (x == SPACE_MARK) == (y == SPACE_MARK)), lambda x: F.coalesce(x, F.lit(False)))
+    same = let(slide_values(source), lambda a: let(slide_values(candidate), lambda b: (F.size(a) == F.size(b)) & marks(a, b)))
+    return F.coalesce(same, F.lit(False))
 
 
 def _align(chunks: Column, slots: Column) -> Column:
@@ -111,32 +112,45 @@ def repair_document(candidate: Column, source: Column) -> Column:
     """The candidate's words on the source's spans, or null (O-75, documents)."""
     boundary = r"(?i)</?(?:span|p)(?:\s[^>]*)?>"
     chunks = F.filter(F.split(candidate, boundary, -1), lambda c: ~blank(c) & (c != SPACE_MARK))
-    slots = spans(source)
-    wanted = F.size(F.filter(slots, lambda s: ~blank(s)))
-    aligned = _align(chunks, wanted)
-    contents = _fill(slots, blank, aligned)
-    gaps = F.split(source, SPAN, -1)
-    pieces = F.zip_with(
-        gaps, contents, lambda g, c: F.concat(g, F.when(c.isNotNull(), F.concat(F.lit("<span>"), c, F.lit("</span>"))).otherwise(""))
-    )
-    repaired = F.array_join(pieces, "")
-    clean = ~F.exists(aligned, lambda c: F.contains(c, F.lit("<")) | F.contains(c, F.lit(">")))
-    visible = F.exists(contents, lambda c: ~blank(c))
-    good = (F.size(slots) > 0) & aligned.isNotNull() & clean & visible & _same_frame(repaired, source)
-    return F.when(good, repaired)
+
+    def filled(slots: Column, aligned: Column) -> Column:
+        clean = ~F.exists(aligned, lambda c: F.contains(c, F.lit("<")) | F.contains(c, F.lit(">")))
+        marked = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<span>"), c, F.lit("</span>"))).otherwise("")
+
+        def whole(contents: Column) -> Column:
+            visible = F.exists(contents, lambda c: ~blank(c))
+            pieces = F.zip_with(F.split(source, SPAN, -1), contents, lambda g, c: F.concat(g, marked(c)))
+            return F.when(visible, let(F.array_join(pieces, ""), lambda text: F.when(_same_frame(text, source), text)))
+
+        return F.when((F.size(slots) > 0) & aligned.isNotNull() & clean, let(_fill(slots, blank, aligned), whole))
+
+    def on_slots(slots: Column) -> Column:
+        wanted = F.size(F.filter(slots, lambda s: ~blank(s)))
+        return let(let(chunks, lambda c: let(wanted, lambda n: _align(c, n))), lambda aligned: filled(slots, aligned))
+
+    return let(spans(source), on_slots)
 
 
 def repair_slide(candidate: Column, source: Column) -> Column:
     """The candidate's words on the source's spans, or null (O-75, slides)."""
     chunks = F.filter(F.split(candidate, r"(?i)<span[^>]*>|</span\s*>", -1), lambda c: (c != SPACE_MARK) & ~blank(c))
-    slots = slide_values(source)
-    wanted = F.size(F.filter(slots, lambda s: s != SPACE_MARK))
-    none = F.when((wanted == 0) & (F.size(chunks) == 0), F.expr(_NONE))
-    aligned = F.coalesce(none, _align(chunks, F.greatest(wanted, F.lit(1))))
-    aligned = F.when((wanted > 0) | (F.size(chunks) == 0), aligned)
-    contents = _fill(slots, lambda s: s == SPACE_MARK, aligned)
-    repaired = F.array_join(F.transform(contents, lambda c: F.concat(F.lit("<span>"), c, F.lit("</span>"))), "")
-    return F.when(slots.isNotNull() & aligned.isNotNull() & valid_slide(repaired, source), repaired)
+
+    def filled(slots: Column, aligned: Column) -> Column:
+        contents = _fill(slots, lambda s: s == SPACE_MARK, aligned)
+        text = F.array_join(F.transform(contents, lambda c: F.concat(F.lit("<span>"), c, F.lit("</span>"))), "")
+        return F.when(aligned.isNotNull(), let(text, lambda t: F.when(valid_slide(t, source), t)))
+
+    def on_slots(slots: Column) -> Column:
+        wanted = F.size(F.filter(slots, lambda s: s != SPACE_MARK))
+
+        def dealt(found: Column, n: Column) -> Column:
+            none = F.when((n == 0) & (F.size(found) == 0), F.expr(_NONE))
+            aligned = F.when((n > 0) | (F.size(found) == 0), F.coalesce(none, _align(found, F.greatest(n, F.lit(1)))))
+            return let(aligned, lambda a: filled(slots, a))
+
+        return F.when(slots.isNotNull(), let(chunks, lambda found: let(wanted, lambda n: dealt(found, n))))
+
+    return let(slide_values(source), on_slots)
 
 
 def _kind(char: Column, cjk: str) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import let, running
 from textloom.functions.text import SPACE, strip, tokens_weighted
 
 BLANK_SEPARATOR = r"(?:\r?\n)[ \t]*(?:\r?\n)+"
@@ -33,14 +34,14 @@ def _span(start: Column, text: Column) -> Column:
 
 def _with_starts(pieces: Column, base: Column, gaps: Column | None = None) -> Column:
     """Pieces (and the gaps after them) with the offset where each begins."""
-    zipped = F.arrays_zip(pieces.alias("p"), (gaps if gaps is not None else F.transform(pieces, lambda _: F.lit(""))).alias("g"))
+    after = gaps if gaps is not None else F.transform(pieces, lambda _: F.lit(""))
+    zipped = F.zip_with(pieces, after, lambda p, g: F.struct(p.alias("p"), (F.length(p) + F.length(F.coalesce(g, F.lit("")))).cast("long").alias("n")))
 
-    def step(state: Column, x: Column) -> Column:
-        after = state["at"] + F.length(x["p"]) + F.length(F.coalesce(x["g"], F.lit("")))
-        return F.struct(after.alias("at"), F.array_append(state["out"], _span(state["at"], x["p"])).alias("out"))
+    def placed(z: Column) -> Column:
+        ends = running(F.transform(z, lambda x: x["n"]), lambda a, b: a + b)
+        return F.zip_with(z, ends, lambda x, end: _span(base + end - x["n"], x["p"]))
 
-    start = F.struct(base.cast("int").alias("at"), _empty(_SPANS).alias("out"))
-    return F.aggregate(zipped, start, step, lambda s: s["out"])
+    return F.when(F.size(pieces) > 0, let(zipped, placed)).otherwise(_empty(_SPANS))
 
 
 def _cut(span: Column) -> Column:
@@ -140,18 +141,15 @@ def stub_translation(text: Column) -> Column:
 
 
 def restore(text: Column, spans: Column, translated: Column) -> Column:
-    """The text with every span's translation in its place (O-88)."""
-    zipped = F.arrays_zip(spans.alias("s"), translated.alias("t"))
+    """The text with every span's translation in its place (O-88): gaps and translations, joined once."""
 
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, x["s"]["start"] - state["at"])
-        return F.struct(
-            (x["s"]["start"] + F.length(x["s"]["text"])).cast("int").alias("at"),
-            F.concat(state["out"], gap, x["t"]).alias("out"),
-        )
+    def woven(s: Column) -> Column:
+        end = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1)["start"] + F.length(F.get(s, i - 1)["text"]))
+        gap = lambda i, upto: F.substring(text, end(i) + 1, upto - end(i))
+        pieces = F.zip_with(F.transform(s, lambda x, i: gap(i, x["start"])), translated, lambda g, t: F.concat(g, t))
+        return F.concat(F.array_join(pieces, ""), gap(F.size(s), F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(zipped, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, woven))
 
 
 def segment_documents(df: DataFrame, text: str = "text") -> DataFrame:
