@@ -15,8 +15,10 @@ proportion to its dimensions, so a linked pair is within its share in one block
 Vectors of each length are joined apart, with a rotation and blocks of their own.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing,
-not even with copies; vectors of unequal length do not link; equal vectors count as links; an id stands for one row (rows that repeat an id whole count as copies); rows with a null id
-link with nothing and are not kept; an empty table gives an empty result.
+not even with copies; vectors of unequal length do not link; equal vectors count as links; rows that repeat
+an id are rows of their own in n_links and share their component; rows with a null id link with nothing and
+are not kept; an empty table gives an empty result; other columns are not read. Vectors are scaled by a power
+of two first, which no cosine notices, so that no norm overflows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import materialize, small_batches
+from textloom.llm.skew import join_spread
 
 BLOCK_DIMS = 8
 GRID = 2
@@ -74,17 +77,21 @@ class Blocks:
 
 
 def _array(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(False).astype(np.float64).reshape(-1, dims)
+    """The vectors as rows, each with its largest component between a half and one."""
+    x = column.flatten().to_numpy(False).astype(np.float64).reshape(-1, dims)
+    if not len(x):
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def _tiles(reps: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
-    """(tile, block, side, id): the vectors that each tile compares."""
+    """(tile, block, side, id, node): the vectors that each tile compares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("id").to_numpy()
+            ids, nodes = batch.column("id"), batch.column("node")
             z = blocks.rotated(_array(batch.column("vector"), blocks.dims))
             for b in range(len(blocks.slices)):
                 for rows, cell, role in blocks.cells(z, b):
@@ -94,14 +101,16 @@ def _tiles(reps: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
                             pa.array(cell[:, 0].astype(np.int32)),
                             pa.array(cell[:, 1].astype(np.int32)),
                             pa.array(np.full(len(rows), role, np.int32)),
-                            pa.array(ids[rows]),
+                            ids.take(pa.array(rows)),
+                            nodes.take(pa.array(rows)),
                         ],
-                        ["block", "cx", "cy", "role", "id"],
+                        ["block", "cx", "cy", "role", "id", "node"],
                     )
 
     cell = ["block", "cx", "cy"]
+    small_batches(reps.sparkSession)
     placed = materialize(
-        reps.select("id", "vector").mapInArrow(run, "block int, cx int, cy int, role int, id long"), "cells"
+        reps.select("id", "node", "vector").mapInArrow(run, "block int, cx int, cy int, role int, id long, node long"), "cells"
     )
     sizes = placed.groupBy(*cell).agg(
         F.ceil(F.sum(F.when(F.col("role") == 0, 1).otherwise(0)) / tile).cast("int").alias("homes"),
@@ -109,7 +118,7 @@ def _tiles(reps: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
     )
     dealt = placed.join(sizes.where("homes > 0"), cell)
     parts = F.when(F.col("role") == 0, F.col("homes")).otherwise(F.col("guests"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id", "node"), parts).cast("int"))
     none = F.expr("cast(array() as array<int>)")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
     # Tiles (i, j): home part i with home part j >= i, and (i, -1 - j): home part i with guest part j.
@@ -122,7 +131,7 @@ def _tiles(reps: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
     )
     as_guest = F.transform(upto(F.col("homes")), lambda k: pair(k, -1 - part, 1))
     dealt = dealt.withColumn("pair", F.explode(F.when(F.col("role") == 0, as_home).otherwise(as_guest)))
-    return dealt.select(F.xxhash64(*cell, "pair.i", "pair.j").alias("tile"), "block", "pair.side", "id")
+    return dealt.select(F.xxhash64(*cell, "pair.i", "pair.j").alias("tile"), "block", "pair.side", "id", "node")
 
 
 def _linked(
@@ -203,13 +212,14 @@ def join(
 
 def _joined(rows: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
     """(id, component, links) of usable vectors of one length."""
-    classes = rows.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(classes.select(F.col("rep").alias("id"), "copies", "vector").dropDuplicates(["id"]), "vectors")
-    dealt = _tiles(reps, blocks, tile).join(reps, "id").select("tile", "block", "side", "id", "copies", "vector")
-    dealt = dealt.repartition("tile").sortWithinPartitions("tile", "side", "id")
+    # An id may stand for several vectors: a class is its smallest id and a hash of the vector.
+    classes = rows.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(classes.select("id", F.xxhash64("vector").alias("node"), "copies", "vector"), "vectors")
+    dealt = _tiles(reps, blocks, tile).join(reps, ["id", "node"]).select("tile", "block", "side", "id", "node", "copies", "vector")
+    dealt = dealt.repartition("tile").sortWithinPartitions("tile", "side", "id", "node")
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        side, ids, copies = (table.column(k).to_numpy() for k in ("side", "id", "copies"))
+        side, ids, nodes, copies = (table.column(k).to_numpy() for k in ("side", "id", "node", "copies"))
         x = _array(table.column("vector").combine_chunks(), blocks.dims)
         cut = int(np.searchsorted(side, 1))
         block = int(table.column("block")[0].as_py())
@@ -219,7 +229,7 @@ def _joined(rows: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
         some = np.flatnonzero(links)
         least = _least(ids, i, j)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(least[some])], ["id", "links", "least"]
+            [pa.array(v[some]) for v in (ids, nodes, links.astype(np.int64), least)], ["id", "node", "links", "least"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,20 +246,22 @@ def _joined(rows: DataFrame, blocks: Blocks, tile: int) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    found = materialize(dealt.mapInArrow(run, "id long, links long, least long"), "vector-links")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    found = materialize(dealt.mapInArrow(run, "id long, node long, links long, least long"), "vector-links")
+    links = found.groupBy("id", "node").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
+    component = component.withColumnRenamed("node", "id")
     of_class = (
-        classes.join(links, F.col("rep") == F.col("id"), "left")
-        .drop("id")
-        .join(component, F.col("rep") == F.col("node"), "left")
+        reps.join(links, ["id", "node"], "left")
+        .join(component, "id", "left")
         .select(
             "vector",
-            F.coalesce("component", "rep").alias("component"),
+            "copies",
+            F.coalesce("component", "id").alias("component"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         )
     )
-    return rows.join(of_class, "vector").select("id", "component", "links")
+    of_class = materialize(of_class, "vector-classes")
+    return join_spread(rows.select("id", "vector"), of_class, ["vector"], "copies", ["id"]).select("id", "component", "links")
 
 
 def _result(found: DataFrame, id_col: str) -> DataFrame:
