@@ -6,7 +6,8 @@ end, and one replay encodes all of them: an inverted index leads from each merge
 the rank of its merge) to the positions where the pair stands; ranks are taken in ascending order
 and each merge updates the index only for its two neighbours. Words are independent of each other
 under BPE, so replaying a part of the corpus at a time gives the same ids as replaying all of it;
-this needs no shuffle, and no vocabulary of the corpus's words is ever broadcast.
+this needs no shuffle, and no vocabulary of the corpus's words is ever broadcast. Pre-tokens are told
+apart by two independent 64-bit hashes.
 
 Defined results: null and empty texts have no ids and decode to no bytes; ids of a null array
 decode to empty; a pre-token of any length is encoded whole; extra columns are kept unless they
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from textloom.llm.kernels import _BYTE, ranges_hash, slabs, text_buffers
+from textloom.llm.kernels import bytes_hash, slabs, text_buffers
+from textloom.llm.scratch import small_batches
 
 #: Words that a worker keeps encoded; beyond it the store starts anew (it only saves time).
 CACHE_WORDS = 250_000
 #: Bytes of text that one replay covers.
-PORTION_BYTES = 6 << 20
+PORTION_BYTES = 3 << 20
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
 _SHIFT = 20
 
@@ -239,19 +241,25 @@ class Vocabulary:
         """For each array of texts the ids end to end and the n + 1 offsets; one replay for all."""
         if len(self.words) > CACHE_WORDS:
             self.forget()
-        cuts, digests, lengths = [], [], []
+        cuts, digests, checks, lengths = [], [], [], []
         for texts in portion:
             data, at = text_buffers(texts)
             starts = cut(data, at)
             ends = np.append(starts[1:], len(data))[: len(starts)]
             cuts.append((data, starts, np.searchsorted(starts, at)))
-            digests.append(ranges_hash(_BYTE[data], starts, ends))
+            digests.append(bytes_hash(data, starts, ends))
+            checks.append(bytes_hash(data, starts, ends, 1))
             lengths.append(ends - starts)
-        _, sample, inverse = np.unique(np.concatenate(digests), return_index=True, return_inverse=True)
+        digest, check = np.concatenate(digests), np.concatenate(checks)
+        del digests, checks
+        _, sample, inverse = np.unique(digest, return_index=True, return_inverse=True)
+        if not (check[sample][inverse] == check).all():  # two pre-tokens share a digest: both halves tell them apart
+            _, sample, inverse = np.unique(np.stack([digest, check], axis=1), axis=0, return_index=True, return_inverse=True)
+            inverse = inverse.reshape(-1)
         inverse = inverse.astype(np.int32)
         sizes = np.concatenate(lengths)[sample]
         firsts = np.concatenate([[0], np.cumsum([len(x) for x in lengths])])
-        del digests, lengths
+        del digest, check, lengths
         words: list[bytes] = [b""] * len(sample)
         place = np.searchsorted(firsts, sample, "right") - 1
         for k, (data, starts, _) in enumerate(cuts):
@@ -324,6 +332,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([slab.column(k) for k in keep] + [column], [*keep, ids])
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -345,4 +354,5 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 ).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [binary], [*keep, decoded])
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@
    text's copies spread over ``salts`` tasks, so a group with a third of all rows has no hot task.
 3. Global merge: one row per salt and distinct text is left; these salt winners combine to one row
    per distinct text, again compared by full text.
-4. Membership: every row takes its class by digest. Where two different texts share a digest (step 3
+4. Membership: every row takes its class by digest; a hot digest is spread over salts again. Where two different texts share a digest (step 3
    has then two rows for it) the rows of that digest take their class by full text instead.
 
 Defined results: null counts as empty; texts are equal when they are identical after every run of
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.scratch import materialize
+from textloom.llm.skew import join_spread
 
 SALTS = 16
 _BLANKS = ("\t", "\n", "\x0b", "\x0c", "\r")
@@ -64,7 +65,7 @@ def dedup(
     )
     shared = materialize(shared, "exact-classes")
     alone = shared.where("contents = 1")
-    out = rows.drop("norm").join(alone, "digest")
+    out = join_spread(rows.drop("norm"), alone, ["digest"], "group_size", ["id"])
     if not shared.where("contents > 1").isEmpty():
         clash = shared.where("contents > 1").select("digest")
         part = rows.join(clash, "digest", "left_semi")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
 from textloom.llm.kernels import inverse, mix, ngram_hashes, powers, ranges_hash, slabs, split_words
-from textloom.llm.scratch import materialize
+from textloom.llm.scratch import materialize, small_batches
+from textloom.llm.skew import join_spread
 
 BLOCK = 1024
 #: N-grams in a block: with BLOCK, what a task holds of it.
@@ -57,12 +58,12 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int, seed: int = 1) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slab in slabs(batch, "text", 1 << 20):
+            for slab in slabs(batch, "text"):
                 words = split_words(slab.column("text"))
                 hashes = words.hashes()
                 begin, end = words.first[:-1], words.first[1:]
                 f1 = ranges_hash(hashes, begin, end, 0x9FB21C651E98DF25)
-                f2 = ranges_hash(hashes, begin, end, 0xD1B54A32D192ED03)
+                f2 = ranges_hash(words.hashes(1), begin, end, 0xD1B54A32D192ED03)
                 grams, at = ngram_hashes(words, size)
                 has = np.flatnonzero(np.diff(at))
                 least = np.empty((bands * rows, len(has)), np.uint64)
@@ -91,6 +92,7 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int, seed: int = 1) -
                     ["id", "f1", "f2", "n", "bands"],
                 )
 
+    small_batches(df.sparkSession)
     return df.select("id", "text").mapInArrow(run, _SIGNED)
 
 
@@ -264,13 +266,16 @@ def join(
             "f1",
             "f2",
             "class_id",
+            "copies",
             F.coalesce("component", "class_id").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
+    of_class = materialize(of_class, "class-links")
     return (
-        signed.select("id", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2")
-        .join(of_class, ["f1", "f2"], "left")
+        join_spread(
+            signed.select("id", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2"), of_class, ["f1", "f2"], "copies", ["id"], "left"
+        )
         .select(
             F.col("id").alias(id_col),
             F.coalesce("class_id", "id").alias("class_id"),

@@ -13,13 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 18
 
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
 _powers: dict[int, np.ndarray] = {}
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTES = (_BYTE, np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1))
+_BASES = (_P, 0xA0761D6478BD642F | 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -58,6 +60,11 @@ def ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
 
 
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, half: int = 0) -> np.ndarray:
+    """A 64-bit hash of each range of bytes; halves 0 and 1 share neither values nor base."""
+    return ranges_hash(_BYTES[half][data], starts, ends, _BASES[half])
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, and the n + 1 offsets; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -97,8 +104,9 @@ class Words:
     ends: np.ndarray
     first: np.ndarray  # n_docs + 1 word ordinals
 
-    def hashes(self) -> np.ndarray:
-        return ranges_hash(_BYTE[self.data], self.starts, self.ends)
+    def hashes(self, half: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; halves 0 and 1 are independent of each other."""
+        return bytes_hash(self.data, self.starts, self.ends, half)
 
     @property
     def doc_of(self) -> np.ndarray:

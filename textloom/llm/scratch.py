@@ -1,13 +1,24 @@
-"""Intermediate tables in the folder that all executors share (``spark.checkpoint.dir``)."""
+"""Intermediate tables in the folder that all executors share (``spark.checkpoint.dir``).
+
+A result may read the tables that its operator wrote for as long as it is held, so nothing is deleted behind a
+caller's back: who wants the tables of a call gone lists them with ``owned`` and deletes them once the result
+has been written.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+#: Bytes of an Arrow batch between the JVM and Python: both sides hold a few for each running task.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("textloom-owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,14 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes; the default lets 10,000 long texts through at once."""
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+@contextlib.contextmanager
+def owned() -> Iterator[list[str]]:
+    """The list of the tables written inside the block, by this thread or task."""
+    tables: list[str] = []
+    token = _owner.set(tables)
+    try:
+        yield tables
+    finally:
+        _owner.reset(token)
+
+
 def keep_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that ``clear`` leaves alone."""
+    """A path in the shared folder that no ``owned`` list names."""
     return f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}/{name}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = keep_path(spark, name)
-    _written.append(path)
+    tables = _owner.get()
+    if tables is not None:
+        tables.append(path)
     return path
 
 
@@ -41,15 +71,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables have been written so far; what ``clear`` takes as first and end."""
-    return len(_written)
+def reads(df: DataFrame, tables: list[str]) -> bool:
+    """Whether the plan of ``df`` reads one of these tables."""
+    names = {path.split("/")[-2] for path in tables}
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            roots = leaf.relation().location().rootPaths()
+            if any(roots.apply(k).getParent().getName() in names for k in range(roots.size())):
+                return True
+    return False
 
 
-def clear(spark: SparkSession, first: int, end: int) -> None:
-    """Delete the tables first..end; call it only when the results that read them have been written."""
+def delete(spark: SparkSession, tables: list[str]) -> None:
+    """Delete tables; call it only when the results that read them have been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in _written[first:end]:
+    for name in tables:
         path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(conf).delete(path, True)

@@ -12,14 +12,15 @@ reused by the three steps that read texts:
    bit for those that are anchors, to buckets of the hash; a bucket answers each chunk with one bit
    per probe: there is such an anchor, and the words stand in more than one document. A hash is sent
    once per chunk however often it stands there, so no passage makes a hot bucket.
-2. Around the hits each chunk extends to all whole windows that hold one and sends their 64-bit
-   hashes with the smallest id; the bucket answers whether a smaller id stands elsewhere.
+2. Around the hits each chunk extends to all whole windows that hold one and sends two independent 64-bit
+   hashes of their words with the smallest id; the bucket answers whether a smaller id stands elsewhere.
 3. Each chunk merges the windows that a smaller id holds into maximal repeats and removes them.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null and empty texts have none; windows
 are judged on the input; rows with the same id do not remove each other's words; a null id counts
 as larger than all others; texts shorter than a window lose nothing; an empty table gives an empty
-result. Windows are compared by 64-bit hashes of their word sequences.
+result; other columns are not read. Window sequences count as equal when both halves of their 128-bit hash
+are; anchors, of 32 bits or more, only say where windows are looked at.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.kernels import Words, ranges_hash, split_words, windows
+from textloom.llm.scratch import small_batches
 
 #: Code points of text in a chunk, and probes in a bucket: what one task holds at a time.
 CHUNK_CHARS = 3_000_000
 BUCKET_PROBES = 2_000_000
+#: Tasks that chunks are dealt to at most; beyond it a task takes several chunks, one after the other.
+PARTITIONS = 20_000
 _LAST = (1 << 63) - 1
-_WINDOW_SEED = 0xC2B2AE3D27D4EB4F
+_WINDOW_SEEDS = (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)
 
 
 def _pack(values: np.ndarray, wide: bool) -> tuple[bytes, bytes]:
@@ -61,6 +65,13 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
+def _changes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a new pair of values begins."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return np.flatnonzero(new)
+
+
 class _Chunk:
     """One chunk's words and its distinct probes, the same at every step."""
 
@@ -119,6 +130,7 @@ def repeats(
     """One row per row of ``df``: id, n_words, n_removed, text (kept words joined by one space) and
     repeats (the maximal removed ranges, as first word and end)."""
     block = window // 2
+    small_batches(df.sparkSession)
     rows = df.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
@@ -129,9 +141,8 @@ def repeats(
     # Falsely met anchors cost time only; their share stays below about one in fifty.
     wide = chars // 6 // block > (1 << 32) // 50
     bits = 32 + bucket_bits if wide else 32
-    docs = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)).cast("int")).repartition(
-        n_chunks, "chunk"
-    )
+    key = F.xxhash64("id", F.when(F.col("id") == _LAST, F.xxhash64("text")))  # rows without an id are spread too
+    docs = rows.withColumn("chunk", F.pmod(key, F.lit(n_chunks)).cast("int")).repartition(min(n_chunks, PARTITIONS), "chunk")
 
     def send_probes(key: tuple, table: pa.Table) -> pa.Table:
         chunk = _Chunk(table, block, bits)
@@ -178,26 +189,27 @@ def repeats(
 
     def candidates(chunk: _Chunk, back: pa.Table) -> tuple[np.ndarray, ...]:
         """Starts of the windows around hits, in the order of their hashes; where each distinct hash
-        begins; the distinct hashes; the smallest id of each."""
+        begins; both halves of the distinct hashes; the smallest id of each."""
         hit = chunk.spread(flags_of(back, 1, chunk.probes, bits))
         sums = np.concatenate([[0], np.cumsum(hit)])
         last = np.repeat(chunk.words.first[1:], np.diff(chunk.words.first)) - window
         begin = np.flatnonzero(np.arange(len(hit)) <= last)
         begin = begin[sums[begin + window - block + 1] > sums[begin]]
-        hashes = ranges_hash(chunk.hashes, begin, begin + window, _WINDOW_SEED)
-        order = np.argsort(hashes, kind="stable")
-        begin, hashes = begin[order], hashes[order]
-        bounds = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(begin) else begin
+        halves = (chunk.hashes, chunk.words.hashes(1))
+        first, second = (ranges_hash(h, begin, begin + window, s) for h, s in zip(halves, _WINDOW_SEEDS))
+        order = np.lexsort((second, first))
+        begin, first, second = begin[order], first[order], second[order]
+        bounds = _changes(first, second)
         ids = chunk.ids[chunk.doc[begin]]
         least = np.minimum.reduceat(ids, bounds) if len(begin) else ids
-        return begin, bounds, hashes[bounds], least
+        return begin, bounds, first[bounds], second[bounds], least
 
     def send_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return _table(_SENT_TYPES, [])
-        _, _, hashes, least = candidates(_Chunk(left, block, bits), right)
+        _, _, hashes, second, least = candidates(_Chunk(left, block, bits), right)
         out = [
-            (bucket, key[0].as_py(), b - a, hashes[a:b].tobytes(), least[a:b].tobytes(), b"", b"")
+            (bucket, key[0].as_py(), b - a, hashes[a:b].tobytes(), least[a:b].tobytes(), second[a:b].tobytes(), b"")
             for bucket, a, b in _split(hashes, 64, bucket_bits)
         ]
         return _table(_SENT_TYPES, out)
@@ -206,12 +218,12 @@ def repeats(
         got = table.to_pylist()
         hashes = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in got])
         ids = np.concatenate([np.frombuffer(r["b"], np.int64) for r in got])
-        order = np.argsort(hashes, kind="stable")
-        sorted_ = hashes[order]
-        new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-        least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
+        second = np.concatenate([np.frombuffer(r["c"], np.uint64) for r in got])
+        order = np.lexsort((second, hashes))
+        bounds = _changes(hashes[order], second[order])
+        least = np.minimum.reduceat(ids[order], bounds)
         smaller = np.empty(len(ids), bool)
-        smaller[order] = least[np.cumsum(new) - 1] < ids[order]
+        smaller[order] = np.repeat(least, np.diff(np.append(bounds, len(ids)))) < ids[order]
         out, first = [], 0
         for r in got:
             own = smaller[first : first + r["n"]]
@@ -226,7 +238,7 @@ def repeats(
         if right.num_rows and left.num_rows:
             chunk = _Chunk(left, block, bits)
             words = chunk.words
-            begin, bounds, hashes, least = candidates(chunk, right)
+            begin, bounds, hashes, _, least = candidates(chunk, right)
             sizes = np.diff(np.append(bounds, len(begin)))
             elsewhere = np.repeat(flags_of(right, 2, hashes, 64), sizes)
             drop = begin[elsewhere | (chunk.ids[chunk.doc[begin]] > np.repeat(least, sizes))]
