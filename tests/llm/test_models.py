@@ -226,3 +226,31 @@ def test_near_duplicates_keeps_repeated_rows_once(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_vector_join_of_repeated_ids_and_huge_components(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [0.01, 1.0]), (4, [1e200, 0.0]), (5, [1e200, 1e190]), (6, [1e-300, 0.0]), (6, [1e-300, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, n_links string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_join.join(df).collect()), key=repr)
+    # 1 twice, of which one points along x with 4, 5 and 6 (twice), the other along y with 3.
+    expected = [(1, 4, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 4, 1, False), (5, 4, 1, False), (6, 4, 1, False), (6, 4, 1, False), (None, 0, None, False)]
+    assert got == sorted(expected, key=repr)
+
+
+def test_results_outlive_a_pipeline(spark):
+    held = queries.op5_exact_dedup(spark, SMALL)
+    corpus_pipeline.run(spark, SMALL)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, SMALL)  # lazily: the next stage still reads the tables of the last
+        docs = out
+    assert docs.count() > 0 and held.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_mixing_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z"), (2, "", "x", "y", "z")], "doc_id long, text string, rate string, member string, copy string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out, rates = mixing.mix(docs, none)
+    assert rates.converged and out.columns == ["doc_id", "text", "rate", "member", "copy", "member_", "rate_"]
+    assert sorted(map(tuple, mixing.resample(docs, none).collect())) == sorted(map(tuple, docs.collect()))
+    assert mixing.rated(docs.withColumn("id", F.lit(3)), none).columns == ["doc_id", "tokens", "p", "rate"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.kernels import Words, slabs, split_words
+from textloom.llm.scratch import small_batches
 
 NAMES = (
     "upper", "digit", "blank", "line", "stop", "shout", "bar", "symbol", "wide",
@@ -134,9 +135,18 @@ def apply(
                 column = function(*matrix(slab.column(text_col), place, extra))
                 yield pa.RecordBatch.from_arrays([*(slab.column(k) for k in keep), column], [*keep, name])
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lists(x: np.ndarray) -> pa.Array:
     """Rows of a matrix as an array column."""
     at = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
@@ -148,6 +158,12 @@ def extract(df: DataFrame, text_col: str = "text", name: str = "x") -> DataFrame
     return apply(df, text_col, name, T.ArrayType(T.FloatType()), lambda words, x: lists(x.astype(np.float32)))
 
 
+def labelled(df: DataFrame, known: dict[int, int]) -> DataFrame:
+    """The rows of ``df`` whose id is in ``known``; their number is bounded, so they are broadcast."""
+    ids = df.sparkSession.createDataFrame([(i,) for i in sorted(known)], "id long")
+    return df.join(F.broadcast(ids), "id", "left_semi")
+
+
 def of_known(df: DataFrame, known: dict[int, int], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Features and classes of the rows of ``df`` (id, text) whose id is in ``known`` (of bounded size)."""
     place, extra = places(chosen)
@@ -159,7 +175,8 @@ def of_known(df: DataFrame, known: dict[int, int], chosen: np.ndarray | None) ->
             rows = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(kind), rows], ["id", "kind", "x"])
 
-    rows = df.select("id", "text").mapInArrow(run, "id long, kind long, x binary").collect()
+    small_batches(df.sparkSession)
+    rows = labelled(df.select("id", "text"), known).mapInArrow(run, "id long, kind long, x binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64)
     return x, np.array([r["kind"] for r in rows], np.int64)
@@ -202,7 +219,8 @@ def presence(df: DataFrame, known: dict[int, int], n_classes: int) -> np.ndarray
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    found = df.select("id", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    small_batches(df.sparkSession)
+    found = labelled(df.select("id", "text"), known).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS * n_classes)
     for cell, n in found.collect():
         out[cell] = n

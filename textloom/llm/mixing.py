@@ -23,7 +23,8 @@ same rate.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +132,14 @@ def with_posteriors(df: DataFrame, model: Classifier, text_col: str = "text", na
 
 @dataclass
 class Rates:
-    """A fit: a document's rate is 1 plus its posteriors times the multipliers, projected to its bounds."""
+    """A fit: a document's rate is 1 plus its posteriors times the multipliers, projected to its bounds.
+    ``converged`` tells whether the slope came under the tolerance, ``reached`` the expected tokens of each
+    domain at these rates."""
 
     multipliers: list[float]
     anchor: int | None = None
+    converged: bool = True
+    reached: list[float] = field(default_factory=list)
 
     def free(self, p: Column) -> Column:
         rate = F.lit(1.0)
@@ -203,6 +208,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     def state(multipliers: np.ndarray) -> tuple[Rates, np.ndarray, np.ndarray, float]:
         rates = Rates(multipliers.tolist(), anchor)
         reached, inside, area = _sums(members, rates)
+        rates.reached = reached.tolist()
         ridge = RIDGE * have * multipliers
         return rates, reached - goal + ridge, inside, area - goal @ multipliers + multipliers @ ridge / 2
 
@@ -224,6 +230,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
             rates, slope, inside, value = tried
         else:
             length /= 4
+    else:
+        rates.converged = False
+        warnings.warn(f"rates did not converge in {MAX_STEPS} steps: slope {np.abs(slope).max():.3g}", stacklevel=2)
     return rates
 
 
@@ -235,18 +244,29 @@ def fit(
     text_col: str = "text",
     budget: float | None = None,
     whole: bool = False,
-) -> tuple[DataFrame, Classifier, Rates]:
-    """The table of members (id, tokens, p) of all documents, the classifier and the rates."""
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    model = fit_classifier(docs, domain_of(labels, id_col))
-    members = materialize(with_posteriors(docs, model).drop("text").select("id", "member.*"), "members")
-    return members, model, fit_rates(members, targets, budget, whole)
+    name: str = "member",
+    keep: tuple[str, ...] | None = None,
+) -> tuple[DataFrame, Rates]:
+    """A table of the columns ``keep`` of ``df`` (default: all) and ``name``: (tokens, p), and the rates. Texts
+    are read once for it; the fit reads its column ``name`` alone."""
+    model = fit_classifier(_docs(df, id_col, text_col), domain_of(labels, id_col))
+    scored = with_posteriors(df, model, text_col, name)
+    if keep is not None:
+        scored = scored.select(*[F.col(f"`{c}`") for c in keep], name)
+    scored = materialize(scored, "members")
+    return scored, fit_rates(scored.select(f"{name}.*"), targets, budget, whole)
+
+
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def rated(df: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, tokens, p, rate; texts are read once for the posteriors."""
-    members, _, rates = fit(df, labels, targets, id_col, text_col)
-    return members.select(F.col("id").alias(id_col), "tokens", "p", rates.column(F.struct("p")).alias("rate"))
+    name = features.free_name(df, "member")
+    scored, rates = fit(df, labels, targets, id_col, text_col, name=name, keep=(id_col,))
+    own = F.col(f"`{id_col}`").cast("long").alias(id_col)
+    return scored.select(own, f"{name}.tokens", f"{name}.p", rates.column(F.col(name)).alias("rate"))
 
 
 def mix(
@@ -258,11 +278,11 @@ def mix(
     budget: float | None = None,
     whole: bool = False,
 ) -> tuple[DataFrame, Rates]:
-    """``df`` with the columns member (tokens, p) and rate, and the fit. Posteriors are computed again where
-    the rows lie, so texts are not shuffled to meet their rates."""
-    _, model, rates = fit(df, labels, targets, id_col, text_col, budget, whole)
-    scored = with_posteriors(df, model, text_col, "member")
-    return scored.withColumn("rate", rates.column(F.col("member"))), rates
+    """``df`` with the columns member (tokens, p) and rate, and the fit. Columns of ``df`` stay as they are: where
+    it has one of these names, the new one ends in an underscore."""
+    member = features.free_name(df, "member")
+    scored, rates = fit(df, labels, targets, id_col, text_col, budget, whole, member)
+    return scored.withColumn(features.free_name(df, "rate"), rates.column(F.col(f"`{member}`"))), rates
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -282,7 +302,9 @@ def resample(
 ) -> DataFrame:
     """The rows of ``df``, each as often as its rate says, with a budget that repeats no row and keeps
     the domain with the largest target (``fit_rates`` with ``whole``)."""
-    mixed, _ = mix(df, labels, targets, id_col, text_col, whole=True)
-    many = copies(F.col("rate"), F.col(f"`{id_col}`"))
-    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), many)))
+    member = features.free_name(df, "member")
+    scored, rates = fit(df, labels, targets, id_col, text_col, whole=True, name=member)
+    many = copies(rates.column(F.col(member)), F.col(f"`{id_col}`"))
+    copy = features.free_name(df, "copy")
+    repeated = scored.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array_repeat(F.lit(0), many)).alias(copy))
     return repeated.select(*[F.col(f"`{c}`") for c in df.columns])
