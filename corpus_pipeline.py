@@ -2,8 +2,9 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
-``documents``. A stage deletes what its predecessor left in the shared folder, whose result has then been
-written.
+``documents``. A stage deletes the tables that the latest call of its predecessor over the same folder left
+in the shared folder, whose result has then been written (not if ``docs`` still reads them); other results
+held in the session keep theirs.
 """
 
 from __future__ import annotations
@@ -19,14 +20,19 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Shares of tokens after the quality stage, which leaves next to nothing of the low domain. Clean documents
 #: stay on any input: the others shrink to these shares beside them, or stay short of them.
 TARGETS = {"clean": 0.94, "low": 0.0, "toxic": 0.06}
-_last = [0]
+#: (application, folder) -> the stage called last over it, and its tables.
+_left: dict[tuple[str, str], tuple[int, list[str]]] = {}
 
 
-def _tidy(stage: Stage) -> Stage:
+def _tidy(number: int, stage: Stage) -> Stage:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.clear(spark, _last[0], scratch.written())
-        _last[0] = scratch.written()
-        out = stage(spark, docs, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
+        last, tables = _left.pop(key, (-1, []))
+        if last == number - 1 and not scratch.reads(docs, tables):
+            scratch.delete(spark, tables)
+        with scratch.owned() as tables:
+            out = stage(spark, docs, sf_dir)
+        _left[key] = (number, tables)
         return out
 
     return run
@@ -74,24 +80,30 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.encoded(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", _tidy(quality_classifier)),
-    ("line_dedup", _tidy(near_line_dedup)),
-    ("ngram_jaccard", _tidy(near_duplicates)),
-    ("mixing", _tidy(mixing_weights)),
-    ("byte_bpe", _tidy(byte_bpe)),
+_STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", near_line_dedup),
+    ("ngram_jaccard", near_duplicates),
+    ("mixing", mixing_weights),
+    ("byte_bpe", byte_bpe),
 ]
+STAGES: list[tuple[str, Stage]] = [(name, _tidy(i, stage)) for i, (name, stage) in enumerate(_STAGES)]
 
 #: SQL can express neither the fitted models nor the tokeniser.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each one's result written and read again."""
+    """All stages over ``documents``, each one's result written and read again. Tables of the run that nothing
+    reads any more are deleted as it goes; only the last stage's stay, which the result reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        path = scratch.keep_path(spark, "stage")
-        out.write.parquet(path)
+    before: list[str] = []
+    for _, stage in _STAGES[:-1]:
+        with scratch.owned() as tables:
+            out = stage(spark, docs, sf_dir)
+            path = scratch.new_path(spark, "stage")
+            out.write.parquet(path)
+        scratch.delete(spark, [*before, *tables[:-1]])
+        before = [path]
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return _STAGES[-1][1](spark, docs, sf_dir)
