@@ -66,14 +66,15 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data: counts and digest of the base spans, and all spans (n_* count base spans)."""
+    """Personal data: counts and digest of the base spans, and all spans. The four counts are of base spans, n_added
+    of the others, n_spans of both."""
     found = pii.find(documents(spark, sf_dir))
     written = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [
-        (F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS
+        (F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS
     ]
     return found.select(
         "doc_id",
@@ -81,6 +82,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
