@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import language as lg
 from textloom.operators import batches as bt
+from textloom.operators import chunks as ck
 from textloom.operators import inventory as inv
 from textloom.operators import jobs as jb
 from textloom.operators import tables as tb
@@ -194,8 +195,49 @@ def model_list(spark: SparkSession, sf: str) -> DataFrame:
     return inv.listed(_current(spark, sf).select("provider", "model_id", "enabled"))
 
 
+_WORDS = "CASE span_id % 6 WHEN 0 THEN '报告' WHEN 1 THEN 'alpha beta' WHEN 2 THEN ',' WHEN 3 THEN '（' WHEN 4 THEN '第' ELSE text END"
+
+
+def cell_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """O-147, cells."""
+    spans = _boxes(spark, sf).selectExpr("page", "span_id % 2 AS cell", "span_id", f"{_WORDS} AS text")
+    return ck.cell_text(spans, ["page", "cell"], ["span_id"])
+
+
+def line_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """O-147, lines."""
+    spans = _boxes(spark, sf).selectExpr("page", "span_id % 2 AS line", "span_id", "x1", "x1 + size * (span_id % 9) AS x2", "size", f"{_WORDS} AS text")
+    return ck.line_text(spans, ["page", "line"])
+
+
+def rendered_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """O-149: documents of eight pages, blocks with a text, with spans and with neither."""
+    spans = _boxes(spark, sf).selectExpr("page div 8 AS doc", "page", "span_id % 3 AS block", "span_id", "text")
+    named = F.transform(F.array_sort(F.collect_list(F.struct("span_id", "text"))), lambda x, i: F.struct(F.format_string("SPAN_%d", i).alias("name"), x["text"].alias("text")))
+    rows = spans.groupBy("doc", "page", "block").agg(named.alias("spans")).withColumn("plain", F.when(F.col("block") == 0, F.concat(F.lit("p"), F.col("page").cast("string"))))
+    rows = rows.withColumn("spans", F.when(F.col("block") != 0, F.when(F.col("page") % 5 != 0, F.col("spans"))))
+    return ck.rendered(rows.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<name:string,text:string>>)"))), "doc")
+
+
+_CHUNK = """concat('[PAGE_', conv_id, ']\n[BLOCK_0]', role, '\n[BLOCK_1]<SPAN_0>', role, '</SPAN_0><SPAN_1>', turn, '</SPAN_1>\n[PAGE_', conv_id + 1, ']\n[BLOCK_0]', replace(left(text, 30), '\n', ' '))"""
+_BROKEN = """CASE (conv_id + turn) % 9 WHEN 0 THEN c WHEN 1 THEN replace(c, '<SPAN_1>', '') WHEN 2 THEN replace(c, 'SPAN_1', 'SPAN_0') WHEN 3 THEN concat('x\n', c) WHEN 4 THEN replace(c, '[BLOCK_1]', '[BLOCK_2]')
+    WHEN 5 THEN replace(c, concat('[BLOCK_0]', role), concat('[BLOCK_0]<SPAN_2>a</SPAN_2> <SPAN_7>b</SPAN_7>')) WHEN 6 THEN replace(c, concat('<SPAN_0>', role), '<SPAN_0> ') WHEN 7 THEN replace(c, '\n[BLOCK_1]', '\n\n [BLOCK_1]')
+    ELSE replace(c, '</SPAN_0><SPAN_1>', '</SPAN_1><SPAN_0>') END"""
+
+
+def chunk_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """O-80 and O-81: answers with faults against their sources."""
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", F.expr(_CHUNK).alias("c")).withColumn("answer", F.expr(_BROKEN))
+    source, answer = ck.parse_chunk(F.col("c")), ck.parse_chunk(F.col("answer"))
+    rows = rows.select("conv_id", "turn", F.explode(F.array(F.struct(source.alias("s"), answer.alias("a")))).alias("p"))
+    return rows.select(
+        "conv_id", "turn", F.coalesce(F.size("p.s.blocks"), F.lit(0)).cast("long").alias("source_blocks"), F.coalesce(F.size("p.a.blocks"), F.lit(0)).cast("long").alias("answer_blocks"),
+        ck.fits(F.col("p.s"), F.col("p.a")).alias("fits"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    line_centres, table_rulings, unreliable_cells, compact_cells, preserve_blocks, scan_gate, translated_spans, side_by_side, font_languages, indexed_answers,
+    cell_texts, line_texts, rendered_blocks, chunk_answers, line_centres, table_rulings, unreliable_cells, compact_cells, preserve_blocks, scan_gate, translated_spans, side_by_side, font_languages, indexed_answers,
     batch_calls, call_attempts, ordered_commits, concurrency, create_jobs, upsert_front, document_options, model_list,
 )}
 
@@ -280,4 +322,18 @@ ORACLE = {
                CASE WHEN wrong OR kind NOT IN ('docx', 'pdf') THEN NULL WHEN given IS NULL OR p_size % 5 = 0 THEN false ELSE p_size % 6 = 0 END AS bilingual,
                CASE WHEN wrong OR kind <> 'pptx' THEN NULL WHEN given IS NULL OR p_size % 6 = 0 THEN true ELSE p_size % 7 = 0 END AS translate_notes, CASE WHEN wrong THEN 'invalid_document_options' END AS error FROM w""",
     "model_list": f"SELECT provider, model_id, enabled, row_number() OVER (PARTITION BY provider ORDER BY enabled DESC, model_id) AS place FROM ({_C})",
+    "cell_texts": _BASE + f"""
+        , a AS (SELECT page, span_id % 2 AS cell, span_id, {_WORDS} AS t FROM s), b AS (SELECT *, lag(t) OVER (PARTITION BY page, cell ORDER BY span_id) AS o FROM a WHERE t <> ''),
+        c AS (SELECT *, right(o, 1) AS l, left(t, 1) AS r FROM b WHERE o IS NULL OR o <> t)
+        SELECT page, cell, string_agg(CASE WHEN o IS NULL OR (l IN ('告', '第') AND r IN ('报', '第')) OR r = ',' OR l = '（' THEN t ELSE ' ' || t END, '' ORDER BY span_id) AS text FROM c GROUP BY page, cell""",
+    "line_texts": _BASE + f"""
+        , a AS (SELECT page, span_id % 2 AS line, span_id, x1, x1 + size * (span_id % 9) AS x2, {_WORDS} AS t, median(size) OVER (PARTITION BY page, span_id % 2) * 0.35 AS wide FROM s),
+        b AS (SELECT *, coalesce(x1 - lag(x2) OVER (PARTITION BY page, line ORDER BY x1, span_id) > wide, false) AS gap FROM a)
+        SELECT page, line, trim(string_agg(CASE WHEN gap THEN ' ' || t ELSE t END, '' ORDER BY x1, span_id)) AS text FROM b GROUP BY page, line""",
+    "rendered_blocks": _BASE + """
+        , a AS (SELECT page // 8 AS doc, page, span_id % 3 AS block, text, row_number() OVER (PARTITION BY page, span_id % 3 ORDER BY span_id, text) - 1 AS i FROM s),
+        b AS (SELECT doc, page, block, count(*) AS n, any_value(text) AS one, string_agg('<SPAN_' || i || '>' || text || '</SPAN_' || i || '>', '' ORDER BY i) AS many FROM a GROUP BY doc, page, block),
+        c AS (SELECT doc, page, block, '[BLOCK_' || block || ']' || CASE WHEN block = 0 THEN 'p' || page WHEN n = 1 THEN one ELSE many END AS line FROM b WHERE block = 0 OR page % 5 <> 0),
+        d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc, page ORDER BY block) = 1 THEN '[PAGE_' || page || ']' || chr(10) || line ELSE line END AS l FROM c)
+        SELECT doc, string_agg(l, chr(10) ORDER BY page, block) AS text FROM d GROUP BY doc""",
 }
