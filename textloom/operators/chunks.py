@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.arrays import let
 from textloom.functions.language import span_text
-from textloom.functions.text import strip
+from textloom.functions.text import strip, tokens_words
+from textloom.operators.segments import pack_greedy
 
 # The lines and tags of a chunk, characters that take no space, lines of lists.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
@@ -150,3 +151,18 @@ def rendered(blocks: DataFrame, doc: str) -> DataFrame:
     rows = rows.withColumn("__line", line)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "block", "__line"))), lambda x: x["__line"]), "\n")
     return rows.groupBy(doc).agg(text.alias("text"))
+
+
+def page_chunks(lines: DataFrame, doc: str, most: int) -> DataFrame:
+    """(doc, page, chunk, text): the lines of each page (page, block, line) packed under the token limit, each chunk
+    with the page's marker (O-54). A marker that leaves no room is an error."""
+    marker = F.format_string("[PAGE_%d]", "page")
+    rows = lines.groupBy(doc, "page").agg(F.array_sort(F.collect_list(F.struct("block", "line"))).alias("lines"))
+    room = F.lit(most) - tokens_words(marker)
+    tight = F.when(room <= 0, F.raise_error(F.lit("the limit must be above the tokens of the page's marker")).cast("long")).otherwise(room)
+    rows = rows.withColumn("room", tight)
+    tokens = F.transform("lines", lambda x: tokens_words(x["line"]))
+    rows = rows.select(doc, "page", "lines", pack_greedy(tokens, F.col("room")).alias("chunks"))
+    each = rows.select(doc, "page", F.explode(F.arrays_zip("lines", "chunks")).alias("x")).select(doc, "page", F.col("x.chunks").cast("long").alias("chunk"), "x.lines.block", "x.lines.line")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line"))), lambda x: x["line"]), "\n")
+    return each.groupBy(doc, "page", "chunk").agg(text.alias("text")).select(doc, "page", "chunk", F.concat(marker, F.lit("\n"), F.col("text")).alias("text"))

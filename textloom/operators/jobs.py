@@ -130,3 +130,10 @@ def document_options(kind: Column, given: Column, options: dict[str, Column]) ->
                 column = F.when((kind == k) & ~wrong, F.coalesce(F.when(given.isNotNull(), value), F.lit(defaults[name]))).otherwise(column)
         out[name] = column
     return out, F.when(wrong, "invalid_document_options")
+
+
+def options_text(kind: Column, options: dict[str, Column]) -> Column:
+    """Options as stable JSON text with sorted keys and without missing ones (O-168); null without a kind."""
+    values = {**{k: v.cast("string") for k, v in options.items()}, "kind": F.concat(F.lit('"'), kind, F.lit('"'))}
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}": '), v)) for k, v in sorted(values.items())]
+    return F.when(kind.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))

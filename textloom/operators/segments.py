@@ -89,7 +89,7 @@ def txt_spans(text: Column) -> Column:
     return F.filter(spans, lambda s: strip(s["text"]) != "")
 
 
-def pack_greedy(tokens: Column, limit: int = MAX_BATCH_TOKENS) -> Column:
+def pack_greedy(tokens: Column, limit: int | Column = MAX_BATCH_TOKENS) -> Column:
     """Batch number of every item: a batch closes before it would exceed the limit (O-50)."""
 
     def step(state: Column, n: Column) -> Column:
