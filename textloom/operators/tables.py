@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.language import script_of
 from textloom.operators.layout import BEHAVIOUR
 
 # Thin rectangles, shortest rulings, tolerances, render modes that leave text invisible.
@@ -153,3 +154,11 @@ def translated_spans(spans: DataFrame, answers: DataFrame, keys: list[str]) -> D
     rows = spans.withColumn("place", F.row_number().over(order)).join(own, [*keys, "span_id"], "left").join(whole, keys, "left")
     spread = F.when(F.col("place") == 1, F.col("whole")).otherwise(F.when(F.col("whole").isNotNull(), F.lit("")))
     return rows.select(*keys, "span_id", F.when(~F.col("kept"), F.coalesce("own", spread)).alias("text"))
+
+
+def characters(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, script, characters): the distinct visible characters of each script, sorted (O-155). Each text is reduced to
+    its own distinct characters before anything is shuffled."""
+    char = df.select(*keys, F.explode(F.array_distinct(F.split(text, ""))).alias("c")).where(~F.col("c").rlike(r"^[\x00-\x20]?$")).distinct()
+    rows = char.withColumn("script", script_of(F.col("c")))
+    return rows.groupBy(*keys, "script").agg(F.array_join(F.array_sort(F.collect_list("c")), "").alias("characters"))

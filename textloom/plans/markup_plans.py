@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import markup as mk
 from textloom.functions import text as tx
 from textloom.operators import segments as sg
+from textloom.operators import settle as st
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +62,16 @@ def markup_settle(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", outcome.alias("outcome")).groupBy("conv_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def settle_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """O-77 and O-78: a model that gives the source's spans back for each fourth turn, and the broken answer for others."""
+    model = lambda candidate, source: F.when(F.col("turn") % 4 == 0, source).otherwise(candidate)
+    rows = _marked(spark, sf)
+    documents = st.settle_documents(rows.select("conv_id", "turn", "candidate", "source"), "candidate", "source", model)
+    slides = st.settle_slides(rows.select("conv_id", "turn", "slide_candidate", "slide_source"), "conv_id", "turn", "slide_candidate", "slide_source", model)
+    first = documents.select("conv_id", "turn", F.col("outcome").alias("document"), F.md5("text").alias("document_md5"))
+    return first.join(slides.select("conv_id", "turn", F.col("outcome").alias("slide"), "asked"), ["conv_id", "turn"])
+
+
 def markup_escape(spark: SparkSession, sf: str) -> DataFrame:
     """O-71 and O-79 on page sources."""
     piece = F.col("html")
@@ -194,7 +205,7 @@ def cell_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    markup_validate, markup_repair, markup_settle, markup_escape, english_spacing, html_plain_text, batch_minmax, batch_per_scope,
+    markup_validate, markup_repair, markup_settle, settle_turns, markup_escape, english_spacing, html_plain_text, batch_minmax, batch_per_scope,
     batch_slides, batch_pages, prompt_payload, parse_response, index_filters, http_status, cell_split,
 )}
 
@@ -264,6 +275,16 @@ ORACLE = {
     "markup_settle": _REPAIR
     + f"""SELECT conv_id, CASE WHEN {_DOC_OK} THEN 'strict' WHEN df IS NOT NULL AND NOT ({_BL("d1 || d3")})
           AND len(list_filter(df, lambda c: contains(c, '<') OR contains(c, '>'))) = 0 THEN 'repaired' ELSE 'fallback' END AS outcome, count(*) AS n FROM filled GROUP BY ALL""",
+    "settle_turns": _REPAIR
+    + f""", z AS (SELECT *, {_DOC_OK} AS dok, df IS NOT NULL AND NOT ({_BL("d1 || d3")}) AND len(list_filter(df, lambda c: contains(c, '<') OR contains(c, '>'))) = 0 AS drep,
+          coalesce(({_VALUES('slide_candidate')}) IS NOT NULL AND len({_VALUES('slide_candidate')}) = len({_VALUES('slide_source')})
+          AND list_transform({_VALUES('slide_candidate')}, lambda v: v = '<SPACE>') = list_transform({_VALUES('slide_source')}, lambda v: v = '<SPACE>'), false) AS sok,
+          {_DOC_OK.replace('candidate', 'source')} AS own, ({_VALUES('slide_source')}) IS NOT NULL AS sown FROM filled),
+        y AS (SELECT *, CASE WHEN {_BL('candidate')} THEN 'fallback' WHEN dok THEN 'strict' WHEN turn % 4 = 0 AND own THEN 'model' WHEN drep THEN 'repaired' ELSE 'fallback' END AS document,
+              CASE WHEN {_BL('slide_candidate')} THEN 'fallback' WHEN sok THEN 'strict' WHEN turn % 4 = 0 AND sown THEN 'model' WHEN sf2 IS NOT NULL THEN 'repaired' ELSE 'fallback' END AS slide,
+              NOT ({_BL('slide_candidate')}) AND NOT sok AS bad FROM z)
+        SELECT conv_id, turn, document, md5(CASE document WHEN 'strict' THEN candidate WHEN 'repaired' THEN '<span>' || d1 || '</span><span> </span><span>' || d3 || '</span>' ELSE source END) AS document_md5, slide,
+               CASE WHEN bad THEN row_number() OVER (PARTITION BY conv_id, bad ORDER BY turn) - 1 END AS asked FROM y""",
     "markup_escape": "SELECT page_id, md5('<span>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>') AS escaped_md5, true AS round_trip, true AS wrong_marker FROM pages",
     "english_spacing": r"""
         WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3], lambda i: CASE WHEN i < 3 THEN substr(text, 1 + 7 * i, 7) ELSE substr(text, 22) END) AS v FROM conversations),

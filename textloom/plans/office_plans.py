@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.language import SCRIPTS
 from textloom.operators import chunks as ck
 from textloom.operators import jobs as jb
 from textloom.operators import office as of
+from textloom.operators import tables as tb
 
 #: Line items as runs: an order is a paragraph.
 _RUN = {
@@ -80,7 +82,13 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return ck.page_chunks(lines, "doc", 24)
 
 
-QUERIES = {f.__name__: f for f in (slide_runs, structure_keys, token_projection, sequential_parts, markers, unique_cells, option_texts, page_chunks)}
+def font_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """O-155: the distinct characters of each language's documents by script, sorted."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return tb.characters(docs, ["lang"], "text")
+
+
+QUERIES = {f.__name__: f for f in (slide_runs, structure_keys, token_projection, sequential_parts, markers, unique_cells, option_texts, page_chunks, font_characters)}
 
 _SHAPE = "p_size || CASE WHEN p_size % 2 = 0 THEN '.1.2' ELSE '' END"
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
@@ -114,4 +122,8 @@ ORACLE = {
               UNION ALL
               SELECT n.doc, n.page, n.block, n.line, n.rn, CASE WHEN total + t > room THEN chunk + 1 ELSE chunk END, CASE WHEN total + t > room THEN t ELSE total + t END FROM f JOIN n ON n.page = f.page AND n.rn = f.rn + 1)
         SELECT doc, page, CAST(chunk AS BIGINT) AS chunk, '[PAGE_' || page || ']' || chr(10) || string_agg(line, chr(10) ORDER BY block) AS text FROM f GROUP BY doc, page, chunk""",
+    "font_characters": f"""
+        WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS c FROM documents)
+        SELECT lang, CASE {" ".join(f"WHEN regexp_matches(c, '^[{chars}]$') THEN '{name}'" for name, chars in SCRIPTS)} ELSE 'en' END AS script, string_agg(c, '' ORDER BY c) AS characters
+        FROM c WHERE NOT regexp_matches(c, '^[\\x{{00}}-\\x{{20}}]?$') GROUP BY ALL""",
 }
