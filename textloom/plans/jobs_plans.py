@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import inventory as inv
 from textloom.operators import jobs as jb
+from textloom.service import Providers, Resources
 
 
 def _view(spark: SparkSession, sf: str, name: str, sql: str) -> DataFrame:
@@ -167,6 +168,21 @@ def pack_progress(spark: SparkSession, sf: str) -> DataFrame:
     return inv.pack_progress(assets)
 
 
+def provider_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """O-198: providers are configured, one is activated, its models are enabled by id, another is deleted."""
+    configs = _current(spark, sf).select("provider").distinct().select("provider", (F.col("provider") == 0).alias("active"), F.lit("old").alias("settings"))
+    fresh = configs.where("provider IN (1, 3)").select("provider", "active", F.lit("new").alias("settings"))
+    now = Providers(configs, _current(spark, sf)).configured(fresh).activated(F.lit(3)).activated(F.lit(77))
+    now = now.enabled(F.lit(3), F.array(F.lit(" m3 "), F.lit("m8"), F.lit("m8"), F.lit(""))).deleted(F.lit(2))
+    return now.listed().select("provider", "model_id", "enabled", "place").join(now.configs, "provider")
+
+
+def resource_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """O-199: one pack and one asset are installed, the transfers of another pack are cancelled."""
+    assets = _view(spark, sf, "part", "concat('a', p_partkey) AS id; p_brand AS pack; p_size * 1000 AS size; p_partkey % 3 <> 0 AS ready; CASE WHEN p_partkey % 6 = 0 THEN 2500 END AS partial")
+    return Resources(assets).installed(["a6"], ["Brand#2"]).cancelled([], ["Brand#3"]).status()
+
+
 def asset_selection(spark: SparkSession, sf: str) -> DataFrame:
     """O-191, O-17 and O-187."""
     assets = _view(spark, sf, "part", "concat('a', p_partkey) AS id; p_brand AS pack; p_size AS size")
@@ -177,7 +193,7 @@ def asset_selection(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     progress_fold, job_transitions, dedup_latest, staged_candidates, recent_jobs, startup_sweep, history_filter, artifact_replace,
     enum_remap, options_json, path_tail_recursive, inventory_merge, discovery_merge, manual_merge, catalog_overlay, probe_save,
-    default_model, catalog_integrity, pack_progress, asset_selection,
+    default_model, catalog_integrity, pack_progress, provider_endpoints, resource_endpoints, asset_selection,
 )}
 
 
@@ -288,5 +304,12 @@ ORACLE = {
         SELECT coalesce(pack, '(all)') AS pack, CAST(sum(size) AS BIGINT) AS size_bytes, CAST(sum(CASE WHEN ready THEN size ELSE least(coalesce(part, 0), size) END) AS BIGINT) AS completed_bytes, bool_and(ready) AS ready
         FROM a GROUP BY GROUPING SETS ((pack), ())
     """,
+    "provider_endpoints": f"""
+        WITH m AS (SELECT provider, model_id, CASE WHEN provider = 3 THEN model_id IN ('m3', 'm8') ELSE enabled END AS enabled FROM ({_C}) WHERE provider <> 2)
+        SELECT provider, model_id, enabled, row_number() OVER (PARTITION BY provider ORDER BY enabled DESC, model_id) AS place, provider = 3 AS active, CASE WHEN provider IN (1, 3) THEN 'new' ELSE 'old' END AS settings FROM m""",
+    "resource_endpoints": """
+        WITH a AS (SELECT p_brand AS pack, p_size * 1000 AS size, p_partkey % 3 <> 0 OR p_brand = 'Brand#2' OR p_partkey = 6 AS ready, CASE WHEN p_partkey % 6 = 0 AND p_brand <> 'Brand#3' THEN 2500 END AS part FROM part)
+        SELECT coalesce(pack, '(all)') AS pack, CAST(sum(size) AS BIGINT) AS size_bytes, CAST(sum(CASE WHEN ready THEN size ELSE least(coalesce(part, 0), size) END) AS BIGINT) AS completed_bytes, bool_and(ready) AS ready
+        FROM a GROUP BY GROUPING SETS ((pack), ())""",
     "asset_selection": "SELECT 'a' || p_partkey AS id, p_brand AS pack, 'a' || p_partkey || '|' || p_brand AS ids FROM part WHERE p_partkey IN (1, 7) OR p_brand = 'Brand#2'",
 }
