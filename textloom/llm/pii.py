@@ -55,7 +55,7 @@ _CANDIDATES = {
     "card": (r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9])",),
     "phone": (r"(?<![0-9])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9])",),
     "secret": (
-        r"(?i)(?<=" + _NAMES + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"',;:=<>]{6,}+",
+        r"(?i)(" + _NAMES + r"[\"']?\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"',;:=<>]{6,}+",
         r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
     ),
 }
@@ -71,14 +71,16 @@ _OTHER_CUES = (
     r"(?:order|invoice|isbn|issn|version|ver|sku|serial|item|ref|part|ticket|page|date|time|mac|hash|build|no"
     r"|commit|sha|sha1|sha256|md5|etag|checksum|digest|file|image|slug|path|url|uuid|id)\b[^a-z0-9]*$"
 )
-_NEED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
+_NEED = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
+# What a text must hold for a generator to look at it. All but spelled-out addresses and assigned values have digits.
 _OFFER = {
-    "email": r"(?i)at[)\]} ]",
+    "email": r"(?i)[(\[{]at[)\]}]| at  ?[a-z0-9-]++(?: ?[(\[{]dot| dot |\.[a-z0-9-])",
     "ip": r":[0-9A-Fa-f]{0,4}:",
     "card": r"[0-9]{4}",
     "phone": r"[0-9][) ./-]",
-    "secret": r"[A-Za-z0-9+/_-]{16}|(?i:" + _NAMES + r"[\"']?\s{0,2}[:=])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}",
 }
+_ASSIGNED = r"(?i)" + _NAMES + r"[\"']?\s{0,2}[:=]"
 _FEATURES = (
     "digits", "length", "marks", "luhn", "distinct", "zero", "cue", "other", "glued", "bracket", "suffix", "letters", "capitals", "chars",
     "hex", "assigned", "parts", "kind",
@@ -90,16 +92,19 @@ def _none() -> Column:
     return F.expr(f"cast(array() as array<{_SPAN}>)")
 
 
-def _located(text: Column, pattern: str, kind: str) -> Column:
-    """Matches of the pattern with their positions: the lengths of the gaps and matches, summed up."""
+def _located(text: Column, pattern: str, kind: str, lead: bool = False) -> Column:
+    """Matches of the pattern with their positions: the lengths of the gaps and matches, summed up. With ``lead``
+    the pattern's first group stands before the span."""
 
     def spans(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         steps = F.zip_with(found, gaps, lambda f, g: (F.length(f) + F.length(g)).cast("long"))
 
         def placed(f: Column, end: Column) -> Column:
-            start = end - F.length(f)
-            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), f.alias("text"))
+            skip = F.length(F.regexp_extract(f, "^" + pattern, 1)) if lead else F.lit(0)
+            start = end - F.length(f) + skip
+            body = F.substring(f, skip + 1, F.length(f)) if lead else f
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), body.alias("text"))
 
         return F.when(F.size(found) > 0, F.zip_with(found, running(steps, lambda a, b: a + b), placed)).otherwise(_none())
 
@@ -147,13 +152,15 @@ def _checked(kind: str) -> Callable[[Column], Column]:
 
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, text), by kind as listed and then start."""
-    parts = []
+    parts = {}
     for kind in BASE_KINDS:
         spans = _located(text, _BASE[kind], kind)
         if kind != "email":
             spans = F.filter(spans, _checked(kind))
-        parts.append(F.when(text.rlike(_NEED[kind]), spans).otherwise(_none()))
-    return F.concat(*parts)
+        need = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_NEED[kind])
+        parts[kind] = F.when(need, spans).otherwise(_none())
+    numbers = F.concat(*[parts[k] for k in BASE_KINDS if k != "email"])
+    return F.concat(parts["email"], F.when(text.rlike("[0-9]"), numbers).otherwise(_none()))
 
 
 def _features(cut: Column, size: Column, x: Column) -> Column:
@@ -210,8 +217,14 @@ def clear_of(spans: Column, others: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """Array of (kind, start, end, text, features) of all generators; those that a base span overlaps lose to it."""
+    some = lambda need, *spans: F.when(need, F.concat(*spans)).otherwise(_none())
+    offered = lambda k, p: some(text.rlike(_OFFER[k]), _located(text, p, k))
+    assigned, opaque = _CANDIDATES["secret"]
+    signs = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
     found = F.concat(
-        *[F.when(text.rlike(_OFFER[k]), F.concat(*[_located(text, p, k) for p in _CANDIDATES[k]])).otherwise(_none()) for k in KINDS]
+        offered("email", *_CANDIDATES["email"]),
+        some(text.rlike("[0-9]"), *[offered(k, *_CANDIDATES[k]) for k in ("ip", "card", "phone")], offered("secret", opaque)),
+        some(signs, some(text.rlike(_ASSIGNED), _located(text, assigned, "secret", lead=True))),
     )
     free = let(F.array_distinct(found), lambda spans: clear_of(spans, base))
 
