@@ -10,6 +10,7 @@ from textloom.operators import batches as bt
 from textloom.operators import chunks as ck
 from textloom.operators import inventory as inv
 from textloom.operators import jobs as jb
+from textloom.operators import layout as lo
 from textloom.operators import tables as tb
 from textloom.plans.jobs_plans import _C, _current
 from textloom.plans.layout_plans import _BASE, _boxes
@@ -26,6 +27,12 @@ def line_centres(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("page", F.col("line").cast("long").alias("line"), F.round("centre", 6).alias("centre"))
 
 
+def attached_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """O-128 and O-129."""
+    rows = _boxes(spark, sf).select("page", "span_id", "x1", "x2", "size", "text", ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    return lo.reading_order(lo.attached_lines(rows, ["page"]), ["page"]).select("page", "span_id", "line", "place")
+
+
 _ITEM = (
     "l_orderkey AS page", "CASE WHEN l_linenumber % 3 = 0 THEN 'line' ELSE 'rect' END AS shape", "l_returnflag = 'A' AS fill", "l_linestatus = 'F' AS stroke",
     "l_linenumber * CAST(0.25 AS DOUBLE) AS width", "CAST(l_partkey % 500 AS DOUBLE) AS x1", "CAST(l_suppkey % 700 AS DOUBLE) AS y1",
@@ -237,7 +244,7 @@ def chunk_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cell_texts, line_texts, rendered_blocks, chunk_answers, line_centres, table_rulings, unreliable_cells, compact_cells, preserve_blocks, scan_gate, translated_spans, side_by_side, font_languages, indexed_answers,
+    cell_texts, line_texts, rendered_blocks, chunk_answers, attached_lines, line_centres, table_rulings, unreliable_cells, compact_cells, preserve_blocks, scan_gate, translated_spans, side_by_side, font_languages, indexed_answers,
     batch_calls, call_attempts, ordered_commits, concurrency, create_jobs, upsert_front, document_options, model_list,
 )}
 
@@ -336,4 +343,14 @@ ORACLE = {
         c AS (SELECT doc, page, block, '[BLOCK_' || block || ']' || CASE WHEN block = 0 THEN 'p' || page WHEN n = 1 THEN one ELSE many END AS line FROM b WHERE block = 0 OR page % 5 <> 0),
         d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc, page ORDER BY block) = 1 THEN '[PAGE_' || page || ']' || chr(10) || line ELSE line END AS l FROM c)
         SELECT doc, string_agg(l, chr(10) ORDER BY page, block) AS text FROM d GROUP BY doc""",
+    "attached_lines": _BASE + """
+        , t AS (SELECT page, median(size) AS m FROM s GROUP BY page),
+        n AS (SELECT s.page, span_id, x1, x2, size, length(text) AS letters, (y1 + y2) / 2 AS cy, m, row_number() OVER (PARTITION BY s.page ORDER BY -(y1 + y2) / 2, x1, span_id) AS rn FROM s JOIN t USING (page)),
+        f AS (SELECT page, span_id, x1, rn, 0 AS line, 1 AS many, CAST(cy AS DOUBLE) AS mean, CAST(x1 AS DOUBLE) AS lft, CAST(x2 AS DOUBLE) AS rgt FROM n WHERE rn = 1
+              UNION ALL
+              SELECT page, span_id, x1, rn, CASE WHEN j THEN line ELSE line + 1 END, CASE WHEN j THEN many + 1 ELSE 1 END, CASE WHEN j THEN (mean * many + cy) / (many + 1) ELSE cy END,
+                     CASE WHEN j THEN least(lft, x1) ELSE x1 END, CASE WHEN j THEN greatest(rgt, x2) ELSE x2 END
+              FROM (SELECT n.*, line, many, mean, lft, rgt, abs(n.cy - mean) <= greatest(2, 0.4 * m) OR (n.size <= 0.92 * m AND abs(n.cy - mean) <= greatest(2, 0.8 * m) AND n.x1 <= rgt + greatest(10, 1.2 * m)
+                           AND n.x2 >= lft - greatest(10, 1.2 * m) AND (letters BETWEEN 1 AND 18 OR n.size <= 0.8 * m)) AS j FROM f JOIN n ON n.page = f.page AND n.rn = f.rn + 1))
+        SELECT page, span_id, CAST(line AS BIGINT) AS line, row_number() OVER (PARTITION BY page ORDER BY line, x1, span_id) AS place FROM f""",
 }
