@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.language import SCRIPTS
+from textloom.functions.language import PAGE_WIDTHS, SCRIPTS
 from textloom.operators import chunks as ck
 from textloom.operators import jobs as jb
 from textloom.operators import office as of
 from textloom.operators import tables as tb
+from textloom.operators import wrap as wp
+from textloom.plans.classify_plans import _width_sql
 
 #: Line items as runs: an order is a paragraph.
 _RUN = {
@@ -88,7 +90,14 @@ def font_characters(spark: SparkSession, sf: str) -> DataFrame:
     return tb.characters(docs, ["lang"], "text")
 
 
-QUERIES = {f.__name__: f for f in (slide_runs, structure_keys, token_projection, sequential_parts, markers, unique_cells, option_texts, page_chunks, font_characters)}
+def wrapped_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """O-29 and O-153: turns in boxes of 20 to 100 points at a size of 10."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.substring("text", 1, 160).alias("t"), ((F.col("conv_id") % 5 + 1) * 20.0).alias("width"))
+    lines = wp.wrap(F.col("t"), F.col("width"), F.lit(10.0))
+    return rows.select("conv_id", "turn", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (slide_runs, structure_keys, token_projection, sequential_parts, markers, unique_cells, option_texts, page_chunks, font_characters, wrapped_lines)}
 
 _SHAPE = "p_size || CASE WHEN p_size % 2 = 0 THEN '.1.2' ELSE '' END"
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
@@ -126,4 +135,19 @@ ORACLE = {
         WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS c FROM documents)
         SELECT lang, CASE {" ".join(f"WHEN regexp_matches(c, '^[{chars}]$') THEN '{name}'" for name, chars in SCRIPTS)} ELSE 'en' END AS script, string_agg(c, '' ORDER BY c) AS characters
         FROM c WHERE NOT regexp_matches(c, '^[\\x{{00}}-\\x{{20}}]?$') GROUP BY ALL""",
+    "wrapped_lines": f"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, substr(text, 1, 160) AS text, (conv_id % 5 + 1) * 20.0 AS width FROM conversations),
+        p AS (SELECT conv_id, turn, width, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS par, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS k FROM c),
+        k AS (SELECT conv_id, turn, width, k, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM (SELECT *, CASE WHEN par = '' THEN [''] ELSE regexp_extract_all(par, '(?s)(?:{wp.WORD.replace("'", "''")}|\\S)[\\s{wp.STAYING}]*') END AS toks FROM p)),
+        w AS (SELECT *, {_width_sql(PAGE_WIDTHS, 'u')} FROM k),
+        b AS (SELECT *, u * 10 > width * 1.05 AND length(t) > 1 AS broken FROM w),
+        x AS (SELECT conv_id, turn, width, k, i, 0 AS j, t FROM b WHERE NOT broken UNION ALL SELECT conv_id, turn, width, k, i, unnest(range(1, length(t) + 1)), unnest(string_split(t, '')) FROM b WHERE broken),
+        y AS (SELECT *, {_width_sql(PAGE_WIDTHS, 'u')}, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, i, j) AS rn FROM x),
+        f AS (SELECT conv_id, turn, rn, k, 0 AS line, t, CAST(u * 10 AS DOUBLE) AS w FROM y WHERE rn = 1
+              UNION ALL
+              SELECT y.conv_id, y.turn, y.rn, y.k, CASE WHEN y.k <> f.k OR (f.t <> '' AND f.w + y.u * 10 > width * 1.01) THEN line + 1 ELSE line END,
+                     CASE WHEN y.k <> f.k OR (f.t <> '' AND f.w + y.u * 10 > width * 1.01) THEN y.t ELSE f.t || y.t END,
+                     CASE WHEN y.k <> f.k OR (f.t <> '' AND f.w + y.u * 10 > width * 1.01) THEN y.u * 10 ELSE f.w + y.u * 10 END
+              FROM f JOIN y ON y.conv_id = f.conv_id AND y.turn = f.turn AND y.rn = f.rn + 1)
+        SELECT conv_id, turn, line, regexp_replace(arg_max(t, rn), '\\s+$', '') AS text FROM f GROUP BY conv_id, turn, line""",
 }
