@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, token_counts, vector_join
+from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, retention, substring_dedup, token_counts, vector_join
 
 #: End-of-document identifier, free in the rank file.
 SEPARATOR = 50256
@@ -102,6 +103,13 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retention cells as known before March 2024 and at the end; every third click, by a hash, is late."""
+    clicks, clients = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("clicks", "clients"))
+    hashed = retention.crc(F.col("click_id"))
+    return retention.retention(clicks, clients, dt.datetime(2024, 3, 1), F.when(hashed % 3 == 0, hashed % 100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -113,11 +121,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_vector_join": op10_vector_join,
+    "op12_cohort_retention": op12_cohort_retention,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+#: CRC-32 of a whole number in decimal: the table of its 256 steps by rule, then a fold over the digits.
+_CRC_STEPS = f"(SELECT list(list_reduce(range(8), lambda c, i: {_BIT}, x) ORDER BY x) AS steps FROM range(256) t(x))"
+_CRC = """xor(list_reduce(list_transform(string_split({0}::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+             lambda c, d: xor(c >> 8, steps[(xor(c, d) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
 ORACLE: dict[str, str] = {
+    "op12_cohort_retention": rf"""
+        WITH rows AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
+        hashed AS (SELECT *, {_CRC.format('click_id')} AS h FROM rows, {_CRC_STEPS}),
+        known AS (
+            SELECT s.state, client_id, ts, kind, CAST(coalesce(floor(100 * value + 0.5), 0) AS BIGINT) AS cents
+            FROM hashed, (VALUES (0), (1)) s(state)
+            WHERE state = 1 OR arrived_at + to_days(CASE WHEN h % 3 = 0 THEN h % 100 ELSE 0 END::INTEGER) < TIMESTAMP '2024-03-01'
+        ),
+        starts AS (SELECT state, client_id, min(ts) AS start FROM known WHERE kind = 'purchase' GROUP BY ALL),
+        placed AS (
+            SELECT a.state, a.client_id, a.start, coalesce(c.city, '') AS segment,
+                   CAST(floor(date_diff('day', DATE '1970-01-01', a.start::DATE) / 3) AS BIGINT) AS cohort
+            FROM starts a LEFT JOIN clients c USING (client_id)
+        ),
+        moves AS (SELECT client_id, count(DISTINCT cohort) > 1 AS moved FROM placed GROUP BY client_id),
+        sums AS (
+            SELECT state, segment, cohort, (epoch_us(ts) - epoch_us(start)) // 259200000000 AS period, client_id, moved, sum(cents) AS cents
+            FROM known JOIN placed USING (state, client_id) JOIN moves USING (client_id) WHERE ts >= start GROUP BY ALL
+        )
+        SELECT state, segment, cohort, period, count(*) AS users, CAST(sum({_CRC.format('client_id')}) AS BIGINT) AS users_crc32,
+               count(*) FILTER (moved) AS moved, CAST(sum(cents) AS BIGINT) AS cents
+        FROM sums, {_CRC_STEPS} GROUP BY state, segment, cohort, period
+    """,
     "op5_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', ' ', 'g') AS norm FROM documents
