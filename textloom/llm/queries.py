@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, retention, substring_dedup, token_counts, vector_join
+from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, quality_rules, retention, substring_dedup, token_counts, vector_join
 
 #: End-of-document identifier, free in the rank file.
 SEPARATOR = 50256
@@ -110,6 +110,13 @@ def op12_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.retention(clicks, clients, dt.datetime(2024, 3, 1), F.when(hashed % 3 == 0, hashed % 100))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, the base rule, and the verdict of all rules weighed by their fitted accuracies."""
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -122,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_vector_join": op10_vector_join,
     "op12_cohort_retention": op12_cohort_retention,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
