@@ -102,6 +102,9 @@ def counts(df: DataFrame, keep: Column, text_col: str = "text") -> DataFrame:
     return rows.select("keep", *[v.cast("long").alias(k) for k, v in of.items()])
 
 
+RULES = ("length", "word_length", "symbols", "copied_lines", "repeated_words", "shouting", "calls", "digits", "vocabulary", "endings")
+
+
 def _rule(low: Column, good: Column) -> Column:
     """A vote: low, else good, else none."""
     return F.when(low, 0).when(good, 1)
@@ -114,7 +117,7 @@ def rules() -> dict[str, Column]:
     wide, symbols, copied = share("word_chars", "n_words"), share("n_symbols", "n_words"), share("n_dup_lines", "n_lines")
     again, shouts, calls = share("n_repeat_words", "n_words"), share("n_shouts", "n_words"), share("n_calls", "n_words")
     digits, own, ended = share("n_numbers", "n_words"), share("n_distinct", "n_words"), share("n_ended", "n_lines")
-    return {
+    votes = {
         "length": _rule(c("n_words") < 10, c("n_words") >= 50),
         "word_length": _rule((wide < 2.5) | (wide > 12), (wide >= 3.5) & (wide <= 9)),
         "symbols": _rule(symbols > 0.1, symbols < 0.02),
@@ -126,10 +129,9 @@ def rules() -> dict[str, Column]:
         "vocabulary": _rule((own < 0.25) & (c("n_words") >= 20) & (c("n_words") < 1000), own > 0.45),
         "endings": _rule((ended < 0.1) & (c("n_lines") > 3), ended > 0.6),
     }
+    return {name: votes[name] for name in RULES}
 
 
-RULES = tuple(rules())
-
 
 @dataclass
 class Votes:
@@ -186,12 +188,19 @@ def _failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _fenced(counted: DataFrame) -> DataFrame:
+    """The same rows behind a generator: a filter on the counts would else move below the steps that make them, and
+    make them again for every element of an array."""
+    names = [c for c in counted.columns if c != "keep"]
+    return counted.select("keep", F.inline(F.array(F.struct(*names))))
+
+
 def patterns(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Distinct votes (-1: none) of the texts that pass the base rule, and the number of texts with each."""
     code = F.lit(0)
     for vote in rules().values():
         code = code * 3 + F.coalesce(vote + 1, F.lit(0))
-    found = counted.where(~_failed()).groupBy(code.cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()
+    found = _fenced(counted).where(~_failed()).groupBy(code.cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()
     codes = np.array([r["code"] for r in found], np.int64)
     votes = codes[:, None] // 3 ** np.arange(len(RULES) - 1, -1, -1) % 3 - 1
     return votes, np.array([r["n"] for r in found], np.float64)
@@ -216,6 +225,6 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: fl
 
 def accepted(df: DataFrame, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``df`` that are kept, judged where they lie: texts are read twice and never shuffled."""
-    model = fit(*patterns(counts(df, F.lit(None), text_col)))
-    judged = counts(df, F.struct("*"), text_col).where(~_failed() & (model.column(rules()) >= cut))
-    return judged.select("keep.*")
+    model = fit(*patterns(counts(df, F.lit(0), text_col)))
+    judged = _fenced(counts(df, F.struct("*"), text_col))
+    return judged.where(~_failed() & (model.column(rules()) >= cut)).select("keep.*")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, quality_rules, retention, substring_dedup, token_counts, vector_join
+from textloom.llm import bpe, exact_dedup, fill_in_middle, jaccard_join, line_dedup, mixing, pii, quality, quality_rules, retention, substring_dedup, token_counts, vector_join
 
 #: End-of-document identifier, free in the rank file.
 SEPARATOR = 50256
@@ -103,6 +103,21 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at two of its lines and put in another order, and put back."""
+    made = fill_in_middle.transform(documents(spark, sf_dir))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def op12_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retention cells as known before March 2024 and at the end; every third click, by a hash, is late."""
     clicks, clients = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("clicks", "clients"))
@@ -128,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_vector_join": op10_vector_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "op12_cohort_retention": op12_cohort_retention,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -141,6 +157,27 @@ _CRC = """xor(list_reduce(list_transform(string_split({0}::VARCHAR, ''), lambda
              lambda c, d: xor(c >> 8, steps[(xor(c, d) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
 
 ORACLE: dict[str, str] = {
+    "op11_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+        u AS (
+            SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+                   list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS hs FROM t
+        ),
+        c AS (SELECT *, len(lines) AS n, hs[1] % (len(lines) + 1) AS a, hs[2] % (len(lines) + 1) AS b FROM u),
+        p AS (
+            SELECT doc_id, text, n, array_to_string(lines[1:least(a, b)], '') AS prefix,
+                   array_to_string(lines[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(lines[greatest(a, b) + 1:], '') AS suffix,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                        WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM c
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
     "op12_cohort_retention": rf"""
         WITH rows AS (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL),
         hashed AS (SELECT *, {_CRC.format('click_id')} AS h FROM rows, {_CRC_STEPS}),

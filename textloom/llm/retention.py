@@ -130,8 +130,8 @@ def cells(rows: DataFrame, begun: DataFrame, width_days: int = 3, parts: int = P
     )
 
 
-def retention(clicks: DataFrame, clients: DataFrame, cut: dt.datetime, late_days: Column | None = None, width_days: int = 3) -> DataFrame:
+def retention(clicks: DataFrame, clients: DataFrame, cut: dt.datetime, late_days: Column | None = None, width_days: int = 3, parts: int = PARTS) -> DataFrame:
     """Cells of the retention matrix as known at ``cut`` and at the end. ``late_days`` is added to the arrivals."""
     rows = materialize(facts(clicks, cut, late_days), "facts")
     begun = materialize(starts(rows, clients), "starts")
-    return cells(rows, begun, width_days)
+    return cells(rows, begun, width_days, parts)
