@@ -80,7 +80,7 @@ def test_no_rows(spark):
 def test_two_texts_of_one_digest_stop_the_job(spark):
     rows = spark.createDataFrame([(b"d", "one"), (b"d", "two")], "digest binary, text string")
     with pytest.raises(Exception, match="two texts share a digest"):
-        fill_in_middle._verified(fill_in_middle._indexed(rows.repartition(1))).collect()
+        fill_in_middle._index(rows.repartition(1)).collect()
 
 
 def test_the_query_rebuilds_every_text(spark):

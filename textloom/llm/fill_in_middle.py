@@ -2,11 +2,12 @@
 
 1. Digests of all texts are kept in a small table (id, digest, place), and counted. Digests with more than 1 / ``PARTS``
    of all rows (and ``LEAST`` rows) are *hot*; at most ``PARTS`` digests can be, so their list is broadcast at any size.
-2. The index: texts of a digest meet and are grouped by their whole content; each distinct text gets its line ends once,
-   as an Elias-Fano list over code points. Texts that are not hot are shuffled once, by digest. Hot ones are combined
-   in each task and again, so of a third of all rows one text a task is moved.
-3. Documents (id and digest, no text) join the index back; a hot text is repeated once for each of as many groups as
-   its rows fill parts.
+2. The index: texts of a digest meet and are grouped by their whole content. Texts that are not hot are shuffled once,
+   by digest. Hot ones are combined in each task and again, so of a third of all rows one text a task is moved; a hot
+   text then stands once for each of as many groups as its rows fill parts.
+3. Documents (id and digest, no text) join the index back, sorted by digest. The first document of a group brings its
+   text along; its line ends are encoded once, as an Elias-Fano list over code points, which serves the whole group.
+   (Encoding before the join would cost a second shuffle of all texts: Python steps lose the partitioning.)
 4. Each document picks its two cuts from the list by the hashes of its id, and the text is cut there.
 
 Nothing takes two texts of one digest for one: a job that meets them fails with an error.
@@ -18,6 +19,7 @@ other columns of the table (of any name) are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,38 +62,35 @@ def line_ends(texts: pa.Array) -> list[bytes]:
     return out
 
 
-def _line_ends(texts: pa.Array) -> pa.Array:
-    return pa.array(line_ends(texts), pa.binary())
-
-
-def _ends_of(lists: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
-    """Ends of prefix and middle after so many lines."""
-    out = np.zeros((len(lists), 2), np.int64)
-    for i, (data, *many) in enumerate(zip(lists.to_pylist(), first.to_pylist(), second.to_pylist())):
-        some = [k for k in many if k]
-        if some:
-            out[i, 2 - len(some) :] = elias_fano.select(data, np.array(some) - 1)
-    return pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["prefix", "middle"])
-
-
-_index_udf = F.arrow_udf(_line_ends, T.BinaryType())
-_ends_udf = F.arrow_udf(_ends_of, T.StructType([T.StructField("prefix", T.LongType()), T.StructField("middle", T.LongType())]))
-
-
-def _indexed(texts: DataFrame) -> DataFrame:
-    """Per distinct text of ``texts`` (digest, text; all of a digest in one task): digest, text, n, marked, ends."""
-    own = texts.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("rows"))
+def _ends(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Ends of prefix and middle after so many lines, of rows sorted by group; the first of a group has its text, and
+    its list stays for the others."""
+    own, held = None, b""
+    for groups, texts, *cuts in batches:
+        out = np.zeros((len(groups), 2), np.int64)
+        first = texts.is_valid().to_numpy(False)
+        lists = iter(line_ends(texts.filter(pa.array(first))))
+        for i, (group, begins, *many) in enumerate(zip(groups.to_pylist(), first.tolist(), *(c.to_pylist() for c in cuts))):
+            if begins:
+                own, held = group, next(lists)
+            elif group != own:
+                raise ValueError("rows of a group do not follow each other")
+            some = [k for k in many if k]
+            if some:
+                out[i, 2 - len(some) :] = elias_fano.select(held, np.array(some) - 1)
+        yield pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["prefix", "middle"])
+
+
+def _index(texts: DataFrame) -> DataFrame:
+    """Per distinct text of ``texts`` (digest, text; all of a digest in one task): digest, text, n, marked. It fails where
+    a digest has two texts."""
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    n = lines + F.when((F.col("text") != "") & ~F.endswith("text", F.lit("\n")), 1).otherwise(0)
+    n = (lines + F.when((F.col("text") != "") & ~F.endswith("text", F.lit("\n")), 1).otherwise(0)).cast("long")
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
-    return own.select("digest", "text", n.cast("long").alias("n"), marked.alias("marked"), _index_udf("text").alias("ends"))
-
-
-def _verified(index: DataFrame) -> DataFrame:
-    """``index``, which fails where a digest has two texts."""
     many = F.count(F.lit(1)).over(Window.partitionBy("digest"))
-    wrong = F.raise_error(F.lit("two texts share a digest"))
-    return index.withColumn("n", F.when(many == 1, F.col("n")).otherwise(wrong.cast("long")))
+    wrong = F.raise_error(F.lit("two texts share a digest")).cast("long")
+    own = texts.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("rows")).withColumn("many", many)
+    return own.select("digest", "text", F.when(F.col("many") == 1, n).otherwise(wrong).alias("n"), marked.alias("marked"))
 
 
 def units(seed: int, key: Column) -> list[Column]:
@@ -112,25 +111,29 @@ def transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pla
     hot = sizes.where(F.col("rows") > most).select("digest", F.ceil(F.col("rows") / most).cast("int").alias("groups"))
     hot = materialize(hot, "hot-digests")
     texts = df.select(digest.alias("digest"), text.alias("text"))
-    cold = _verified(_indexed(texts.join(F.broadcast(hot), "digest", "left_anti").repartition("digest")))
-    parts = [known.join(F.broadcast(hot), "digest", "left_anti").join(cold.hint("merge"), "digest")]
+    cold = _index(texts.join(F.broadcast(hot), "digest", "left_anti").repartition("digest"))
+    made = [_cut(known.join(F.broadcast(hot), "digest", "left_anti"), cold, ["digest"], plan)]
     if not hot.isEmpty():
         few = texts.join(F.broadcast(hot.select("digest")), "digest", "left_semi")
         few = few.withColumn("salt", F.spark_partition_id() % 64).groupBy("digest", "salt", "text").count()
-        index = _verified(_indexed(few.select("digest", "text"))).join(F.broadcast(hot), "digest")
+        index = _index(few.select("digest", "text")).join(F.broadcast(hot), "digest")
         index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
         rows = known.join(F.broadcast(hot), "digest").withColumn("salt", F.pmod(F.xxhash64("place"), F.col("groups")).cast("int"))
-        parts.append(rows.drop("groups").join(index.hint("merge"), ["digest", "salt"]).drop("salt"))
-    return _cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), plan).withColumnRenamed("id", id_col)
+        made.append(_cut(rows.drop("groups"), index, ["digest", "salt"], plan))
+    return (made[0] if len(made) == 1 else made[0].unionByName(made[1])).withColumnRenamed("id", id_col)
 
 
-def _cut(joined: DataFrame, plan: Plan) -> DataFrame:
-    """id, n, form, prefix_chars, middle_chars and output of rows with id, text, n, marked, ends."""
+def _cut(known: DataFrame, index: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
+    """id, n, form, prefix_chars, middle_chars and output of the documents ``known`` (id, place and keys)."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+    joined = known.withColumn("nth", nth).join(index.hint("merge"), keys)
     h = units(plan.seed, F.col("id"))
     plain = (F.col("text") == "") | F.col("marked") | (h[2] % 100 >= plan.rate)
     form = F.when(plain, "plain").when(h[3] % 100 < plan.spm, "spm").otherwise("psm")
-    rows = joined.select("id", "text", "n", "ends", form.alias("form"), (h[0] % (F.col("n") + 1)).alias("a"), (h[1] % (F.col("n") + 1)).alias("b"))
-    rows = rows.withColumn("at", _ends_udf("ends", F.least("a", "b"), F.greatest("a", "b")))
+    rows = joined.select("id", "text", "n", "nth", form.alias("form"), (h[0] % (F.col("n") + 1)).alias("a"), (h[1] % (F.col("n") + 1)).alias("b"), *keys)
+    ends = F.arrow_udf(_ends, T.StructType([T.StructField("prefix", T.LongType()), T.StructField("middle", T.LongType())]))
+    group = F.xxhash64(*keys)
+    rows = rows.withColumn("at", ends(group, F.when(F.col("nth") == 1, F.col("text")), F.least("a", "b"), F.greatest("a", "b")))
     size = lambda value: F.when(F.col("form") != "plain", value)
     rows = rows.select("id", "n", "form", "text", size(F.col("at.prefix")).alias("prefix_chars"), size(F.col("at.middle") - F.col("at.prefix")).alias("middle_chars"))
     start, length = F.col("prefix_chars").cast("int"), F.col("middle_chars").cast("int")
