@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text_plans", "classify_plans", "markup_plans", "jobs_plans", "layout_plans", "document_plans", "table_plans", "office_plans")
+MODULES: tuple[str, ...] = ("text_plans", "classify_plans", "markup_plans", "jobs_plans", "layout_plans", "document_plans", "table_plans", "office_plans", "block_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
