@@ -91,3 +91,43 @@ def test_stages_on_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "3", "4", "None", "None"]
     digests = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.byte_bpe(spark, docs, SMALL).collect()}
     assert digests[2] == hashlib.sha256(b"").hexdigest() and re.fullmatch("[0-9a-f]{64}", digests[1])
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows that share an id are documents of their own for links, components and the pipeline's stage."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a), (4, "quite another text of more than five words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = jaccard_join.join(docs).join(docs.select(F.xxhash64("text").alias("key"), "text").distinct(), "key")
+    got = {(r.doc_id, r.text): (r.component_id, r.n_links) for r in found.collect()}
+    assert got == {(1, a): (1, 2), (1, b): (1, 1), (2, a + " more"): (1, 2), (3, b + " more"): (1, 1), (4, rows[5][1]): (4, 0)}
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), rows[5]])
+
+
+def test_a_smaller_id_reached_over_a_shared_one(spark):
+    """A component takes its smallest id although the classes of a shared id go by hashes."""
+    c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "cd")
+    rows = [(7, c), (7, d), (9, c + " more"), (5, d + " more")]
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("key"), "text")
+    got = {(r.doc_id, r.text): r.component_id for r in found.join(texts, ["doc_id", "key"]).collect()}
+    assert got == {(7, c): 7, (9, c + " more"): 7, (7, d): 5, (5, d + " more"): 5}
+
+
+def test_a_repeated_id_does_not_weigh_on_the_fits(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{SMALL}/labels.parquet")
+    one = quality.chosen(known, "doc_id", "quality", quality.LABELLED)
+    first = one.orderBy("id").first()["id"]
+    text = docs.where(F.col("doc_id") == first).first()["text"]
+    many = docs.unionByName(spark.range(30_000).select(F.lit(first).cast("long").alias("doc_id"), F.lit(text[:400]).alias("text")))
+    ids = {r["id"]: 0 for r in one.collect()}
+    assert features.one_each(many.withColumnRenamed("doc_id", "id"), ids).count() == len(ids)
+    fits = []
+    for table in (docs, docs.unionByName(docs.where(F.col("doc_id") == first))):
+        extracted = features.extract(quality._docs(table, "doc_id", "text")).drop("text")
+        fits.append(quality.train(extracted, one))
+    assert (fits[0].weights == fits[1].weights).all() and fits[0].threshold == fits[1].threshold
+    models = [mixing.fit_classifier(mixing._docs(t, "doc_id", "text"), mixing.domain_of(known)) for t in (docs, docs.union(docs))]
+    assert (models[0].weights == models[1].weights).all() and (models[0].chosen == models[1].chosen).all()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.kernels import Words, slabs, split_words
-from textloom.llm.scratch import small_batches
+from textloom.llm.scratch import materialize, small_batches
 
 NAMES = (
     "upper", "digit", "blank", "line", "stop", "shout", "bar", "symbol", "wide",
@@ -164,8 +164,15 @@ def labelled(df: DataFrame, known: dict[int, int]) -> DataFrame:
     return df.join(F.broadcast(ids), "id", "left_semi")
 
 
+def one_each(df: DataFrame, known: dict[int, int]) -> DataFrame:
+    """(id, text): one text of each id of ``known``, the one with the least hash, as a table. Ids may repeat, even in a
+    third of all rows; their rows are combined in each task first, so what a fit reads has the bound of ``known``."""
+    rows = labelled(df.select("id", "text"), known).groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(rows, "labelled")
+
+
 def of_known(df: DataFrame, known: dict[int, int], chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features and classes of the rows of ``df`` (id, text) whose id is in ``known`` (of bounded size)."""
+    """Features and classes of the rows of ``df`` (of ``one_each``)."""
     place, extra = places(chosen)
     ids, kinds = _sorted(known)
 
@@ -176,7 +183,7 @@ def of_known(df: DataFrame, known: dict[int, int], chosen: np.ndarray | None) ->
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(kind), rows], ["id", "kind", "x"])
 
     small_batches(df.sparkSession)
-    rows = labelled(df.select("id", "text"), known).mapInArrow(run, "id long, kind long, x binary").collect()
+    rows = df.select("id", "text").mapInArrow(run, "id long, kind long, x binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64)
     return x, np.array([r["kind"] for r in rows], np.int64)
@@ -206,8 +213,8 @@ def _labelled(
 
 
 def presence(df: DataFrame, known: dict[int, int], n_classes: int) -> np.ndarray:
-    """Over the rows of ``df`` (id, text) whose id is in ``known`` (id -> class, of bounded size): how many
-    texts of each class have a word of each bucket. BUCKETS x n_classes counts."""
+    """Over the rows of ``df`` (of ``one_each``): how many texts of each class (id -> class) have a word of each bucket.
+    BUCKETS x n_classes counts."""
     ids, kinds = _sorted(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +227,7 @@ def presence(df: DataFrame, known: dict[int, int], n_classes: int) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
     small_batches(df.sparkSession)
-    found = labelled(df.select("id", "text"), known).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = df.select("id", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS * n_classes)
     for cell, n in found.collect():
         out[cell] = n

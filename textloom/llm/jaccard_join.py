@@ -13,7 +13,7 @@
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a text of 1 to ``size - 1`` words has one
 n-gram, the whole of it; null and empty texts have none and link with nothing, not even each other;
-copies count as links; an id stands for one text (rows that repeat it whole count as copies); null ids are left out of the join and returned with a null class; an empty table gives an empty
+copies count as links; rows that share an id are documents of their own, whatever their texts; null ids are left out of the join and returned with a null class; an empty table gives an empty
 result.
 """
 
@@ -46,11 +46,11 @@ def choose_bands(threshold: float, recall: float, rows: int = 4) -> int:
     return bands
 
 
-_SIGNED = "id long, f1 long, f2 long, n int, bands array<long>"
+_SIGNED = "id long, key long, f1 long, f2 long, n int, bands array<long>"
 
 
 def signatures(df: DataFrame, size: int, bands: int, rows: int, seed: int = 1) -> DataFrame:
-    """Per row of ``df`` (id, text): two hashes of the word sequence, the number of n-grams (with
+    """Per row of ``df`` (id, key, text): two hashes of the word sequence, the number of n-grams (with
     repeats) and the band hashes."""
     rng = np.random.default_rng(seed)
     factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -84,16 +84,17 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int, seed: int = 1) -
                 yield pa.RecordBatch.from_arrays(
                     [
                         slab.column("id"),
+                        slab.column("key"),
                         pa.array(f1.view(np.int64)),
                         pa.array(f2.view(np.int64)),
                         pa.array(np.diff(at).astype(np.int32)),
                         column,
                     ],
-                    ["id", "f1", "f2", "n", "bands"],
+                    ["id", "key", "f1", "f2", "n", "bands"],
                 )
 
     small_batches(df.sparkSession)
-    return df.select("id", "text").mapInArrow(run, _SIGNED)
+    return df.select("id", "key", "text").mapInArrow(run, _SIGNED)
 
 
 def _pairs_of(reps: DataFrame, block: int) -> DataFrame:
@@ -240,17 +241,25 @@ def join(
     block: int = BLOCK,
 ) -> DataFrame:
     """One row per row of ``df``: id, class_id (smallest id of the texts with the same words),
-    component_id (smallest id reachable by links) and n_links (other documents linked directly)."""
+    component_id (smallest id reachable by links), n_links (other documents linked directly) and key (a hash of the
+    text, which tells rows of one id apart)."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("text"))
     known = docs.where("id IS NOT NULL")
     signed = materialize(signatures(known, size, choose_bands(threshold, recall, rows), rows), "signatures")
-    classes = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "classes")
-    weights = classes.select(F.col("class_id").alias("id"), F.col("copies").alias("weight"))
-    reps = signed.join(weights, "id", "left_semi").dropDuplicates(["id"])
+    classes = signed.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("id", "key")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    classes = classes.select("f1", "f2", F.col("one.id").alias("class_id"), F.col("one.key").alias("key"), "copies")
+    # A class goes by its smallest id; where that id has several texts, its classes go by a hash of their words.
+    classes = materialize(classes, "word-classes")
+    shared = materialize(classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared-ids")
+    node = F.when(F.col("many").isNull(), F.col("class_id")).otherwise(F.xxhash64("f1", "f2", F.lit("class")))
+    classes = materialize(classes.join(shared, "class_id", "left").withColumn("node", node).drop("many"), "classes")
+    weights = classes.select(F.col("node").alias("id"), F.col("copies").alias("weight"), F.col("class_id").alias("doc"), "key")
+    reps = signed.withColumnRenamed("id", "class_id").join(classes.select("class_id", "key", F.col("node").alias("id")), ["class_id", "key"])
+    reps = reps.dropDuplicates(["id"])
     pairs = materialize(_pairs_of(reps, block).join(weights, "id"), "block-pairs")
     # The same plan at every size: without the hint small inputs would be broadcast.
-    texts = known.join(pairs.hint("merge"), "id").select("pair", "side", "id", "weight", "text")
+    texts = known.withColumnRenamed("id", "doc").join(pairs.hint("merge"), ["doc", "key"]).select("pair", "side", "id", "weight", "text")
     dealt = texts.repartition("pair").sortWithinPartitions("pair", "side", "id")
     found = materialize(
         dealt.mapInArrow(lambda batches: _verified(batches, size, threshold), "id long, links long, least long"),
@@ -258,10 +267,13 @@ def join(
     )
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("id").alias("u"), F.col("least").alias("v")))
+    if not shared.isEmpty():  # the least node of a component may then be a hash: the least id of its classes it is
+        members = classes.select("node", "class_id").join(component, "node")
+        least = members.groupBy("component").agg(F.min("class_id").alias("least"))
+        component = materialize(members.join(least, "component").select("node", F.col("least").alias("component")), "components")
     of_class = (
-        classes.join(links, classes.class_id == links.id, "left")
-        .drop("id")
-        .join(component, F.col("class_id") == F.col("node"), "left")
+        classes.join(links.withColumnRenamed("id", "node"), "node", "left")
+        .join(component, "node", "left")
         .select(
             "f1",
             "f2",
@@ -274,13 +286,14 @@ def join(
     of_class = materialize(of_class, "class-links")
     return (
         join_spread(
-            signed.select("id", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2"), of_class, ["f1", "f2"], "copies", ["id"], "left"
+            signed.select("id", "key", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2"), of_class, ["f1", "f2"], "copies", ["id", "key"], "left"
         )
         .select(
             F.col("id").alias(id_col),
             F.coalesce("class_id", "id").alias("class_id"),
             F.coalesce("component_id", "id").alias("component_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "key",
         )
         .unionByName(
             docs.where("id IS NULL").select(
@@ -288,6 +301,7 @@ def join(
                 F.col("id").alias("class_id"),
                 F.col("id").alias("component_id"),
                 F.lit(0).cast("long").alias("n_links"),
+                "key",
             )
         )
     )

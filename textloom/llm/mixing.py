@@ -98,8 +98,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, wo
     empty = np.zeros(0, np.int64)
     if (sizes > 0).sum() < 2:
         return Classifier(empty, np.zeros(0), np.zeros(0), np.zeros((0, k)), prior)
-    chosen = choose_words(features.presence(docs, known, k), sizes, words)
-    x, y = features.of_known(docs, known, chosen)
+    own = features.one_each(docs, known)
+    chosen = choose_words(features.presence(own, known, k), sizes, words)
+    x, y = features.of_known(own, known, chosen)
     if not len(y) or y.min() == y.max():
         return Classifier(empty, np.zeros(0), np.zeros(0), np.zeros((0, k)), prior)
     x = _widen(x)

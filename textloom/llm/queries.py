@@ -63,7 +63,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of equal word sequences and their links of Jaccard similarity 0.8 on five words."""
-    return jaccard_join.join(documents(spark, sf_dir), size=5, threshold=0.8)
+    return jaccard_join.join(documents(spark, sf_dir), size=5, threshold=0.8).drop("key")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
