@@ -60,8 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: the one with the smallest id, once if its row is repeated
     (rows without an id stay)."""
     groups = jaccard_join.join(docs.select("doc_id", "text"))
-    extra = groups.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(extra.hint("merge"), "doc_id", "left_anti")
+    extra = groups.where("doc_id <> component_id").select("doc_id", F.col("key").alias("__key"))
+    kept = docs.withColumn("__key", F.xxhash64("text")).join(extra.hint("merge"), ["doc_id", "__key"], "left_anti")
     keys = {
         "__h1": F.xxhash64("text"),
         "__h2": F.xxhash64(F.lit(7), "text"),
