@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def _texts():
 def test_spans_meet_a_python_twin(spark):
     texts = _texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: [(s.start, s.text) for s in r.spans] for r in df.select("doc_id", sg.txt_spans(F.col("text")).alias("spans")).collect()}
+    got = {r.doc_id: [(s.start, s.text) for s in r.spans] for r in sg.segment_documents(df).collect()}
     for i, text in enumerate(texts):
         assert got[i] == _spans(text), text[:60]
 
@@ -67,6 +68,13 @@ def test_restore_is_exact(spark):
     assert all(r.output_text == (texts[r.doc_id] or "") for r in failing)
 
 
+@pytest.mark.parametrize("text", ["x" * 2_000_000, "Some words here. " * 120_000, "a b c\n\n" * 200_000], ids=["no space", "sentences", "lines"])
+def test_a_long_text_takes_linear_time(spark, text):
+    start = time.time()
+    row = sg.translate_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.round_trip and row.n_segments > 1000 and time.time() - start < 60
+
+
 @pytest.mark.parametrize(
     ("tokens", "greedy", "bounded"),
     [

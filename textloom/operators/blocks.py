@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,8 +153,8 @@ def line_means(spans: list[tuple]) -> list[float]:
 class _Anchor:
     """A block that may take fragments in; its lines and sizes are looked at again only after it did."""
 
-    def __init__(self, first: pd.Series, spans: list[tuple]):
-        self.block, self.kind, self.right, self.spans = first["block"], (first["source"], first["label"]), max(s[2] for s in spans), spans
+    def __init__(self, block: int, kind: tuple, spans: list[tuple]):
+        self.block, self.kind, self.right, self.spans = block, kind, max(s[2] for s in spans), spans
         self.lines: list[float] | None = None
         self.size: float | None = None
 
@@ -180,24 +181,28 @@ def merge_orphans(spans: DataFrame, page: str) -> DataFrame:
     a line at its height and is set alike; that block then ends where the fragment does and may take in the next. So a
     page is a fold over its blocks, in the page's group; pages are groups of their own."""
 
+    names = ("x1", "y1", "x2", "y2", "size", "text", "kept", "source", "label")
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        blocks = []
-        for block, own in rows.sort_values(["block", "span_id"]).groupby("block", sort=False):
-            blocks.append((-round(float(own["y2"].max()), 2), round(float(own["x1"].min()), 2), block, own))
+        order = np.lexsort((rows["span_id"], rows["block"]))
+        made: dict[int, list[tuple]] = {}
+        sizes = rows["size"].astype(object).where(rows["size"].notna(), None)
+        columns = [(sizes if n == "size" else rows[n]).to_numpy()[order].tolist() for n in names]
+        for block, *span in zip(rows["block"].to_numpy()[order].tolist(), *columns):
+            made.setdefault(block, []).append(tuple(span))
+        places = sorted((-round(max(s[3] for s in own), 2), round(min(s[0] for s in own), 2), block) for block, own in made.items())
         anchors: list[_Anchor] = []
         into = {}
-        for *_, block, own in sorted(blocks, key=lambda b: b[:3]):
-            first = own.iloc[0]
-            boxes = [tuple(r) for r in own[["x1", "y1", "x2", "y2", "size", "text"]].itertuples(index=False)]
-            boxes = [(*b[:4], None if pd.isna(b[4]) else b[4], b[5]) for b in boxes]
-            words = (first["text"] or "").strip()
-            stray = len(own) == 1 and (first["label"] or "").strip().lower() != "table" and not first["kept"] and 0 < len(words) <= ORPHAN_CHARS
-            anchor = next((a for a in reversed(anchors) if a.takes(boxes[0], (first["source"], first["label"]))), None) if stray else None
+        for *_, block in places:
+            own = made[block]
+            *_, words, kept, source, label = own[0]
+            stray = len(own) == 1 and (label or "").strip().lower() != "table" and not kept and 0 < len((words or "").strip()) <= ORPHAN_CHARS
+            anchor = next((a for a in reversed(anchors) if a.takes(own[0], (source, label))), None) if stray else None
             if anchor is None:
-                anchors.append(_Anchor(first, boxes))
+                anchors.append(_Anchor(block, (source, label), own))
                 into[block] = block
             else:
-                anchor.add(boxes[0])
+                anchor.add(own[0])
                 into[block] = anchor.block
         return pd.DataFrame({page: rows[page], "span_id": rows["span_id"], "block": rows["block"], "into": rows["block"].map(into)})
 
