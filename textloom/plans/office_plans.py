@@ -92,7 +92,7 @@ def font_characters(spark: SparkSession, sf: str) -> DataFrame:
 
 def wrapped_lines(spark: SparkSession, sf: str) -> DataFrame:
     """O-29 and O-153: turns in boxes of 20 to 100 points at a size of 10."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.substring("text", 1, 160).alias("t"), ((F.col("conv_id") % 5 + 1) * 20.0).alias("width"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("t"), ((F.col("conv_id") % 5 + 1) * 20.0).alias("width"))
     lines = wp.wrap(F.col("t"), F.col("width"), F.lit(10.0))
     return rows.select("conv_id", "turn", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
@@ -136,7 +136,7 @@ ORACLE = {
         SELECT lang, CASE {" ".join(f"WHEN regexp_matches(c, '^[{chars}]$') THEN '{name}'" for name, chars in SCRIPTS)} ELSE 'en' END AS script, string_agg(c, '' ORDER BY c) AS characters
         FROM c WHERE NOT regexp_matches(c, '^[\\x{{00}}-\\x{{20}}]?$') GROUP BY ALL""",
     "wrapped_lines": f"""
-        WITH RECURSIVE c AS (SELECT conv_id, turn, substr(text, 1, 160) AS text, (conv_id % 5 + 1) * 20.0 AS width FROM conversations),
+        WITH RECURSIVE c AS (SELECT conv_id, turn, text, (conv_id % 5 + 1) * 20.0 AS width FROM conversations),
         p AS (SELECT conv_id, turn, width, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS par, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS k FROM c),
         k AS (SELECT conv_id, turn, width, k, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM (SELECT *, CASE WHEN par = '' THEN [''] ELSE regexp_extract_all(par, '(?s)(?:{wp.WORD.replace("'", "''")}|\\S)[\\s{wp.STAYING}]*') END AS toks FROM p)),
         w AS (SELECT *, {_width_sql(PAGE_WIDTHS, 'u')} FROM k),
