@@ -152,3 +152,11 @@ def test_script_runs(spark):
     got = value(spark, lg.script_runs(F.lit(" 1 Hello, 世界! Привет")))
     assert [(r.text, r.script) for r in got] == [(" 1 Hello, ", "en"), ("世界! ", "zh"), ("Привет", "ru")]
     assert value(spark, lg.script_runs(F.lit(""))) == []
+
+
+def test_script_runs_of_line_art_and_cyrillic(spark):
+    runs = [tuple(r) for r in value(spark, lg.script_runs(F.lit("src \u251c\u2500 app \u2514\u2500 tests")))]
+    assert runs == [("src ", "en"), ("\u251c\u2500 ", "zh"), ("app ", "en"), ("\u2514\u2500 ", "zh"), ("tests", "en")]
+    assert [r.script for r in value(spark, lg.script_runs(F.lit("CPU память")))] == ["en", "ru"]
+    assert [tuple(r) for r in value(spark, lg.script_runs(F.lit(" 12 память"), "en"))] == [(" 12 ", "en"), ("память", "ru")]
+    assert [tuple(r) for r in value(spark, lg.script_runs(F.lit(" 12 память"), "ru"))] == [(" 12 память", "ru")]

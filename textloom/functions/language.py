@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import let
 from textloom.functions.text import collapse, strip
 
 # Names of languages and locales by internal code.
@@ -289,24 +290,33 @@ def span_text(text: Column) -> Column:
     return collapse(F.replace(text, F.lit("­"), F.lit("")))
 
 
+def _run_pattern() -> str:
+    """A pattern whose matches are the runs of a text: a character of a script with those of the same script or common to
+    all after it; common ones alone can only begin a text. Each class leaves out those before it."""
+    own: dict[str, str] = {}
+    before = ""
+    for name, chars in SCRIPTS:
+        own[name] = own.get(name, "") + (f"[[{chars}]&&[^{before}]]" if before else f"[{chars}]")
+        before += chars
+    own["en"] = own.get("en", "") + f"[^{before}]"
+    common = own.pop("common")
+    return "(?U)" + "|".join(f"[{chars}][{chars}{common}]*+" for chars in own.values()) + f"|[{common}]++"
+
+
 def script_runs(text: Column, default: str = "en") -> Column:
-    """Maximal runs of one script as (text, script); characters common to all stay with the run (O-28)."""
-    runs = F.expr("cast(array() as array<struct<text:string,script:string>>)")
-
-    def step(s: Column, char: Column) -> Column:
-        found = script_of(char)
-        script = F.when(found != "common", found).otherwise(F.coalesce(s["script"], F.lit(default)))
-        first, same = s["script"].isNull(), s["script"] == script
-        done = F.when(first | same, s["out"]).otherwise(F.array_append(s["out"], F.struct(s["run"].alias("text"), s["script"].alias("script"))))
-        return F.struct(
-            F.when(same, F.concat(s["run"], char)).otherwise(char).alias("run"), script.alias("script"), done.alias("out")
-        )
-
-    start = F.struct(F.lit("").alias("run"), F.lit(None).cast("string").alias("script"), runs.alias("out"))
-    finish = lambda s: F.when(s["script"].isNull(), s["out"]).otherwise(
-        F.array_append(s["out"], F.struct(s["run"].alias("text"), s["script"].alias("script")))
-    )
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, finish)
+    """Maximal runs of one script as (text, script); characters common to all stay with the run, those that begin the text
+    with the default (O-28). One pass of a pattern, linear in the text."""
+    runs = F.regexp_extract_all(text, F.lit(_run_pattern()), F.lit(0))
+    named = F.transform(runs, lambda r: F.struct(r.alias("text"), F.nullif(script_of(F.left(r, F.lit(1))), F.lit("common")).alias("script")))
+
+    def settled(all_: Column) -> Column:
+        first, second = F.get(all_, F.lit(0)), F.get(all_, F.lit(1))
+        joined = F.struct(F.concat(first["text"], second["text"]).alias("text"), second["script"].alias("script"))
+        joins = first["script"].isNull() & (second["script"] == default)
+        rest = F.when(joins, F.concat(F.array(joined), F.slice(all_, 3, F.greatest(F.size(all_) - 2, F.lit(0))))).otherwise(all_)
+        return F.transform(rest, lambda r: F.struct(r["text"].alias("text"), F.coalesce(r["script"], F.lit(default)).alias("script")))
+
+    return let(named, settled)
 
 
 # Names of target languages and the fonts' language that serves them; others have zh.

@@ -158,7 +158,14 @@ def bold_fonts(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "part").select("p_partkey", tx.bold_font(name).alias("bold"))
 
 
+def script_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """O-28: the runs of one script in every document."""
+    rows = _table(spark, sf, "documents").select("doc_id", F.posexplode(lg.script_runs(F.coalesce("text", F.lit("")))).alias("run", "r"))
+    return rows.select("doc_id", F.col("run").cast("long").alias("run"), "r.script", F.md5(F.col("r.text").cast("binary")).alias("text_md5"))
+
+
 QUERIES = {
+    "script_runs": script_runs,
     "xlsx_translatable": xlsx_translatable,
     "cid_recovery": cid_recovery,
     "lang_alias": lang_alias,
@@ -248,6 +255,13 @@ _CID_DUCK = _CID
 _WORD = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 _LABEL = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lg.TARGET_LABELS.items()) + " ELSE trim(c) END"
 ORACLE = {
+    "script_runs": f"""
+        WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents WHERE text <> ''),
+        d AS (SELECT c, CASE {" ".join(f"WHEN regexp_matches(c, '^[{chars}]$') THEN '{name}'" for name, chars in lg.SCRIPTS)} ELSE 'en' END AS own FROM (SELECT DISTINCT c FROM c)),
+        s AS (SELECT doc_id, k, c, coalesce(last_value(nullif(own, 'common') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING), 'en') AS script FROM c JOIN d USING (c)),
+        n AS (SELECT *, CASE WHEN lag(script) OVER (PARTITION BY doc_id ORDER BY k) <> script THEN 1 ELSE 0 END AS new FROM s),
+        r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM n)
+        SELECT doc_id, CAST(run AS BIGINT) AS run, any_value(script) AS script, md5(string_agg(c, '' ORDER BY k)) AS text_md5 FROM r GROUP BY doc_id, run""",
     "prompt_labels": f"""
         WITH n AS (SELECT c_custkey, {list(_CODES)!r}[c_custkey % {len(_CODES)} + 1] AS c FROM customer), m AS (SELECT *, replace(lower(trim(c)), '_', '-') AS k FROM n)
         SELECT c_custkey, {_LABEL} AS target, CASE WHEN k = 'auto' THEN 'automatically identified language' WHEN k LIKE 'zh%' THEN 'Chinese' ELSE {_LABEL} END AS source FROM m
