@@ -39,6 +39,7 @@ FALLBACK_FONTS = {
     "de": "Calibri", "es": "Calibri", "ru": "Calibri", "ja": "Yu Gothic", "ko": "Malgun Gothic", "bn": "Nirmala UI",
     "km": "Khmer UI", "vi": "Calibri",
 }
+# Parts of the names of symbol fonts, of fonts with few Latin letters, and of the fonts of each script.
 SYMBOL_FONTS = ("wingdings", "webdings", "symbol")
 LIMITED_LATIN_FONTS = (
     "simsun", "simhei", "fangsong", "kaiti", "dengxian", "microsoft yahei", "msyh", "heiti", "songti", "noto sans sc",
@@ -100,7 +101,7 @@ SCRIPTS: tuple[tuple[str, str], ...] = (
         r"\x{3000}-\x{303F}\x{FF00}-\x{FFEF}",
     ),
 )
-#: Order of the greedy choice, and of equal counts.
+# Order of the greedy choice, and of equal counts.
 GREEDY = ("vi", "km", "bn", "ru", "ko", "ja", "zh")
 RANKED = ("zh", "en", "ru", "ja", "ko", "bn", "km", "vi")
 
@@ -150,6 +151,7 @@ def infer_language(text: Column, mode: str = "greedy") -> Column:
     return F.when(empty, "zh").when(first != "en", first).otherwise(F.coalesce(strong, F.lit("en")))
 
 
+# Characters of the scripts of office texts.
 _CHINESE = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2CEAF}\x{30000}-\x{3134F}]"
 _LATIN = r"[A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]"
 _CYRILLIC = r"[\x{400}-\x{52F}\x{2DE0}-\x{2DFF}\x{A640}-\x{A69F}]"

@@ -105,6 +105,7 @@ def numeric_fragment(text: Column) -> Column:
     return (compact != "") & compact.rlike(r"^[\p{N}\p{P}\p{S}]+$")
 
 
+# Marks of unmapped glyphs; the limits in ``recoverable_cid`` are fixed too.
 _CID = r"(?i)\(cid:[0-9]+\)"
 
 
