@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import markup as mk
 from textloom.functions import text as tx
+from textloom.operators import prompts as pr
 from textloom.operators import segments as sg
 from textloom.operators import settle as st
 
@@ -152,6 +155,24 @@ def prompt_payload(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", F.to_json(F.struct(indexed.alias("segments"))).alias("payload"), F.to_json(context).alias("context"))
 
 
+_FORMATS = ("txt", "md_quality_retry", "docx", "docx_repair", "html")
+_TARGETS = ("zh-CN", "fr", " JA", "ko_KR")
+
+
+def prompt_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    """O-55: the whole envelope of each conversation, of five formats to four languages; the roles are context."""
+    rows = _turns(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("conv_id") % len(names) + 1).cast("int"))
+    texts = F.transform("t", lambda x: x["text"])
+    answers = F.slice(F.transform("t", lambda x: x["role"]), 1, F.greatest(F.size("t") - (F.col("conv_id") % 3 == 0).cast("int"), F.lit(1)))
+    calls = rows.select(
+        "conv_id", pick(_FORMATS).alias("format"), F.when(F.col("conv_id") % 2 == 0, "en").alias("source"), pick(_TARGETS).alias("target"), texts.alias("texts"),
+        F.when(F.col("conv_id") % 3 == 1, F.transform("t", lambda x: F.when(x["role"] == "user", x["role"]).otherwise(" "))).alias("context"),
+        F.when(F.col("conv_id") % 5 == 3, answers).alias("candidates"),
+    )
+    return pr.envelopes(calls).select("conv_id", "task_context", "payload", "problem")
+
+
 _ANSWER = """CASE conv_id % 5 WHEN 0 THEN p WHEN 1 THEN replace(p, '"index":1', '"index":0') WHEN 2 THEN replace(p, '"index":0', '"index":99')
     WHEN 3 THEN substr(p, 1, length(p) - 1) ELSE replace(p, '"text":"', '"text":" ') END"""
 
@@ -206,10 +227,18 @@ def cell_split(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     markup_validate, markup_repair, markup_settle, settle_turns, markup_escape, english_spacing, html_plain_text, batch_minmax, batch_per_scope,
-    batch_slides, batch_pages, prompt_payload, parse_response, index_filters, http_status, cell_split,
+    batch_slides, batch_pages, prompt_payload, prompt_envelopes, parse_response, index_filters, http_status, cell_split,
 )}
 
 
+_W = pr.Wording()
+
+
+def _json(value: object) -> str:
+    """A value as JSON inside a SQL literal."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")).replace("'", "''")
+
+
 def _est(x: str) -> str:
     wide = f"length(regexp_replace({x}, '[\\x00-\\x7F]', '', 'g'))"
     return f"CAST(greatest(1, ceil({wide} + (length({x}) - {wide}) * 0.25)) AS BIGINT)"
@@ -319,6 +348,21 @@ ORACLE = {
                || string_agg('"' || role || '"', ',' ORDER BY i) FILTER (i < 5) || ']}' AS context
         FROM t GROUP BY conv_id
     """,
+    "prompt_envelopes": f"""
+        WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+        u AS (SELECT *, conv_id % 5 = 3 AS repair, greatest(n - CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END, 1) AS many FROM t),
+        g AS (SELECT conv_id, any_value(repair AND many <> n) AS odd,
+                     '{{"segments":[' || string_agg('{{"index":' || i || ',"text":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN repair AND i < many THEN ',"candidate":"' || role || '"' ELSE '' END || '}}', ',' ORDER BY i) || ']}}' AS payload,
+                     list('"' || role || '"' ORDER BY i) FILTER (role = 'user') AS ctx FROM u GROUP BY conv_id),
+        c AS (SELECT *, {list(_FORMATS)!r}[conv_id % 5 + 1] AS format, {list(_TARGETS)!r}[conv_id % 4 + 1] AS target, ['Simplified Chinese', 'French', 'Japanese', 'ko_KR'][conv_id % 4 + 1] AS label FROM g)
+        SELECT conv_id, CASE WHEN NOT odd THEN payload END AS payload, CASE WHEN odd THEN 'candidate_count' END AS problem,
+               '{{"format":"' || format || '","prompt_version":"{_W.version}","source_language":"' || CASE WHEN conv_id % 2 = 0 THEN 'en","source_language_label":"English' ELSE 'auto","source_language_label":"automatically identified language' END
+               || '","target_language":"' || target || '","target_language_label":"' || label || '"'
+               || CASE conv_id % 5 {" ".join(f"WHEN {i} THEN ',\"format_constraints\":{_json(_W.constraints[f])}'" for i, f in enumerate(("txt", "md", "docx", "docx_repair")))} ELSE '' END
+               || CASE WHEN conv_id % 5 = 2 THEN CASE WHEN conv_id % 4 = 0 THEN ',"format_example":{_json(_W.examples["docx", "zh"])}' ELSE ',"format_example":{_json(_W.examples["docx", "en"])}' END ELSE '' END
+               || CASE WHEN conv_id % 3 = 1 AND len(ctx) > 0 THEN ',"read_only_context":[' || array_to_string(ctx[1:5], ',') || ']' ELSE '' END
+               || CASE WHEN conv_id % 5 = 1 THEN ',"retry_reason":{_json(_W.retry)}' ELSE '' END || '}}' AS task_context FROM c
+    """,
     "parse_response": """
         WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id)
         SELECT conv_id, conv_id % 5 IN (0, 4) OR (conv_id % 5 = 1 AND n = 1) AS ok,
