@@ -149,7 +149,9 @@ ORACLE = {
         a AS (SELECT *, CASE WHEN u[1].i BETWEEN 1 AND 3 AND u[1].n <> '' AND NOT (u[1].n = 'B' AND u[1].i <> 2) THEN list_transform(['A', 'B', 'C'], lambda x, k: CASE WHEN k = u[1].i THEN u[1].n ELSE x END) ELSE ['A', 'B', 'C'] END AS s FROM o)
         SELECT o_orderkey, array_to_string(CASE WHEN u[2].i BETWEEN 1 AND 3 AND u[2].n <> '' AND len(list_filter(s, lambda x, k: k <> u[2].i AND x = u[2].n)) = 0
                THEN list_transform(s, lambda x, k: CASE WHEN k = u[2].i THEN u[2].n ELSE x END) ELSE s END, ',') AS names FROM a""",
-    "structure_signatures": "SELECT l_orderkey % 10 <> 0 AS same, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY ALL",
+    "structure_signatures": """
+        WITH s AS (SELECT l_orderkey, list(l_tax ORDER BY l_linenumber, l_partkey, l_tax) AS a, list(CASE WHEN l_orderkey % 10 = 0 THEN l_tax + 1 ELSE l_tax END ORDER BY l_linenumber, l_partkey, l_tax) AS b FROM lineitem GROUP BY l_orderkey)
+        SELECT a = b AS same, count(*) AS n FROM s GROUP BY ALL""",
     "run_write_back": "SELECT conv_id, turn AS position, CASE WHEN row_number() OVER (PARTITION BY conv_id, turn % 3 ORDER BY turn) = 1 THEN 'S' || (turn % 3) ELSE '' END AS text FROM conversations",
     "table_flatten": """
         WITH RECURSIVE t AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS id, l_linenumber % 4 AS idx FROM lineitem),

@@ -314,7 +314,11 @@ ORACLE = {
               NOT ({_BL('slide_candidate')}) AND NOT sok AS bad FROM z)
         SELECT conv_id, turn, document, md5(CASE document WHEN 'strict' THEN candidate WHEN 'repaired' THEN '<span>' || d1 || '</span><span> </span><span>' || d3 || '</span>' ELSE source END) AS document_md5, slide,
                CASE WHEN bad THEN row_number() OVER (PARTITION BY conv_id, bad ORDER BY turn) - 1 END AS asked FROM y""",
-    "markup_escape": "SELECT page_id, md5('<span>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>') AS escaped_md5, true AS round_trip, true AS wrong_marker FROM pages",
+    "markup_escape": r"""
+        WITH e AS (SELECT page_id, html, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM pages),
+        c AS (SELECT *, '[CELL_A1]<span>' || e || '</span>' AS cell FROM e),
+        r AS (SELECT *, replace(replace(replace(regexp_extract(cell, '(?s)^\[CELL_A1\]<span>([^<]*)</span>$', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS back FROM c)
+        SELECT page_id, md5('<span>' || e || '</span>') AS escaped_md5, back = html AS round_trip, NOT starts_with(cell, '[CELL_B1]') AS wrong_marker FROM r""",
     "english_spacing": r"""
         WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3], lambda i: CASE WHEN i < 3 THEN substr(text, 1 + 7 * i, 7) ELSE substr(text, 22) END) AS v FROM conversations),
         e AS (SELECT *, list_transform([1, 2, 3], lambda i: {'l': v[i], 'r': v[i + 1], 'a': right(rtrim(v[i], ' ' || chr(10) || chr(9) || chr(13)), 1), 'b': left(ltrim(v[i + 1], ' ' || chr(10) || chr(9) || chr(13)), 1)}) AS p FROM s),
@@ -364,10 +368,13 @@ ORACLE = {
                || CASE WHEN conv_id % 5 = 1 THEN ',"retry_reason":{_json(_W.retry)}' ELSE '' END || '}}' AS task_context FROM c
     """,
     "parse_response": """
-        WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id)
-        SELECT conv_id, conv_id % 5 IN (0, 4) OR (conv_id % 5 = 1 AND n = 1) AS ok,
-               CASE WHEN conv_id % 5 IN (0, 4) OR (conv_id % 5 = 1 AND n = 1) THEN array_to_string(list_transform(t, lambda x: 'T' || x), '|') END AS texts FROM t
-    """,
+        WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id),
+        p AS (SELECT conv_id, n, '{"segments":[' || array_to_string(list_transform(t, lambda x, i: '{"index":' || (i - 1) || ',"text":"T' || x || '"}'), ',') || ']}' AS p FROM t),
+        a AS (SELECT conv_id, n, CASE conv_id % 5 WHEN 0 THEN p WHEN 1 THEN replace(p, '"index":1', '"index":0') WHEN 2 THEN replace(p, '"index":0', '"index":99')
+                     WHEN 3 THEN substr(p, 1, length(p) - 1) ELSE replace(p, '"text":"', '"text":" ') END AS a FROM p),
+        j AS (SELECT conv_id, n, CASE WHEN json_valid(a) THEN CAST(json_extract(a, '$.segments[*].index') AS INTEGER[]) END AS idx, CASE WHEN json_valid(a) THEN json_extract_string(a, '$.segments[*].text') END AS txt FROM a),
+        o AS (SELECT *, coalesce(list_sort(idx) = range(n), false) AS ok FROM j)
+        SELECT conv_id, ok, CASE WHEN ok THEN array_to_string(list_transform(txt, lambda x: trim(x)), '|') END AS texts FROM o""",
     "index_filters": """
         WITH one AS (SELECT l_orderkey, l_partkey % 4 AS i, count(*) AS c FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, count(*) FILTER (c = 1 AND i < 3) AS lenient, count(*) = 3 AND min(i) = 0 AND max(i) = 2 AS strict FROM one GROUP BY l_orderkey
@@ -377,7 +384,7 @@ ORACLE = {
         SELECT CAST(s AS BIGINT) AS status, {_STATUS} AS code, s IN (408, 429) OR s >= 500 AS retryable, CAST(sum(tokens) FILTER (tokens >= 0) AS BIGINT) AS tokens, count(*) AS n FROM r GROUP BY ALL
     """,
     "cell_split": """
-        WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3, 4, 5], lambda i: '<span>' || CASE WHEN i < 5 THEN substr(text, 1 + 5 * i, 5) ELSE substr(text, 26) END || '</span>') AS v FROM conversations)
-        SELECT conv_id, turn, v[1] || '#' || v[2] || v[3] || '#' || v[4] || v[5] || v[6] AS cells, '1,3,6' AS bounds FROM s
-    """,
+        WITH s AS (SELECT conv_id, turn, list_transform([0, 1, 2, 3, 4, 5], lambda i: '<span>' || CASE WHEN i < 5 THEN substr(text, 1 + 5 * i, 5) ELSE substr(text, 26) END || '</span>') AS v, [1, 2, 3] AS counts FROM conversations),
+        b AS (SELECT *, list_transform(counts, lambda c, i: CAST(list_sum(counts[1:i]) AS BIGINT)) AS ends FROM s)
+        SELECT conv_id, turn, array_to_string(list_transform(ends, lambda e, i: array_to_string(v[e - counts[i] + 1:e], '')), '#') AS cells, array_to_string(ends, ',') AS bounds FROM b""",
 }
