@@ -48,3 +48,64 @@ def wrap(text: Column, width: Column, size: Column) -> Column:
 
     lines = F.flatten(F.transform(F.split(F.regexp_replace(text, r"(?:\r\n|[\r\n])$", ""), r"\r\n|[\r\n]", -1), paragraph))
     return F.when(width > 0, lines).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+# Steps of the search for a size, slack of a height and of a width, the share under which sizes and widths both shrink.
+FIT_STEPS, HEIGHT_SLACK, WIDTH_SLACK, SHARED_SHRINK = 10, 0.1, 1.02, 0.85
+
+
+def fit_block(text: Column, width: Column, height: Column, size: Column, least: Column, line_height: float = 1.2) -> Column:
+    """(size, lines): the largest size found at which a text fits its box (O-153). Sizes from the least to the given one are
+    halved FIT_STEPS times; each size wraps the text again, in the row. Where none fits, the least one is taken; a box
+    without height takes the given size, and no size gives no lines."""
+    answer = lambda s, lines: F.struct(s.cast("double").alias("size"), lines.alias("lines"))
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(least.cast("double").alias("low"), size.cast("double").alias("high"), F.lit(None).cast("double").alias("best"), none.alias("lines"))
+
+    def step(s: Column, _: Column) -> Column:
+        def tried(at: Column) -> Column:
+            def judged(lines: Column) -> Column:
+                fits = (F.size(lines) > 0) & (F.size(lines) * at * line_height <= height + HEIGHT_SLACK)
+                either = lambda a, b: F.when(fits, a).otherwise(b)
+                return F.struct(
+                    either(at, s["low"]).alias("low"), either(s["high"], at).alias("high"), either(at, s["best"]).alias("best"), either(lines, s["lines"]).alias("lines")
+                )
+
+            return let(wrap(text, width, at), judged)
+
+        return let((s["low"] + s["high"]) / 2, tried)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(FIT_STEPS)), start, step, lambda s: F.struct(s["best"].alias("size"), s["lines"].alias("lines")))
+    settled = let(found, lambda f: F.when(f["size"].isNotNull(), f).otherwise(answer(least, wrap(text, width, least))))
+    return F.when(size <= 0, answer(F.lit(0.0), none)).when(height <= 0, answer(size, wrap(text, width, size))).otherwise(settled)
+
+
+def fit_line(text: Column, width: Column, size: Column, least: Column, scaling: Column, least_scale: Column) -> Column:
+    """(size, scale): the size of a text on one line, and the percentage that its characters are narrowed to (O-153). Without
+    scaling the size shrinks to the width, but not under the least; with it a much too wide text shrinks by the root of
+    what is wanted and is narrowed by the rest, and shrinks again where it would be narrowed too far."""
+    unit = visual_length(text, PAGE_WIDTHS)
+    floor = F.least(F.greatest(least, F.lit(0.1)), size)
+    narrowest = F.least(F.greatest(least_scale, F.lit(1.0)), F.lit(100.0))
+    answer = lambda s, h: F.struct(s.cast("double").alias("size"), h.cast("double").alias("scale"))
+    wanted = lambda s: width / (unit * s) * 100
+    narrowed = lambda s: F.least(F.lit(100.0), F.greatest(wanted(s), narrowest))
+    share = width / (unit * size)
+
+    def both(s: Column) -> Column:
+        smaller = F.greatest(s * wanted(s) / narrowest, floor)
+        return F.when((wanted(s) < narrowest) & (s > floor), let(smaller, lambda t: answer(t, narrowed(t)))).otherwise(answer(s, narrowed(s)))
+
+    def little(s: Column) -> Column:
+        over = (s <= floor) & (unit * s > width * WIDTH_SLACK)
+        return answer(s, F.when(over, narrowed(s)).otherwise(F.lit(100.0)))
+
+    shrunk = F.greatest(size * share, floor)
+    much = let(F.greatest(size * F.greatest(F.sqrt(share), floor / size), floor), both)
+    asis = (size <= 0) | (width <= 0) | (unit <= 0) | (unit * size <= width * WIDTH_SLACK)
+    return (
+        F.when(asis, answer(size, F.lit(100.0)))
+        .when(~scaling, answer(shrunk, F.lit(100.0)))
+        .when(share < SHARED_SHRINK, much)
+        .otherwise(let(shrunk, little))
+    )

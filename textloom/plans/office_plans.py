@@ -97,7 +97,15 @@ def wrapped_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.posexplode(lines).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (slide_runs, structure_keys, token_projection, sequential_parts, markers, unique_cells, option_texts, page_chunks, font_characters, wrapped_lines)}
+def fitted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """O-153: turns on one line of 100 to 3000 points, half of them narrowed."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    width, size = ((F.col("conv_id") % 30 + 1) * 100).cast("double"), (F.col("turn") % 3 + 9).cast("double")
+    fit = wp.fit_line(F.col("text"), width, size, F.lit(6.0), F.col("conv_id") % 2 == 0, F.lit(80.0))
+    return rows.select("conv_id", "turn", fit.alias("f")).select("conv_id", "turn", F.round("f.size", 6).alias("size"), F.round("f.scale", 6).alias("scale"))
+
+
+QUERIES = {f.__name__: f for f in (fitted_lines, slide_runs, structure_keys, token_projection, sequential_parts, markers, unique_cells, option_texts, page_chunks, font_characters, wrapped_lines)}
 
 _SHAPE = "p_size || CASE WHEN p_size % 2 = 0 THEN '.1.2' ELSE '' END"
 _TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
@@ -135,6 +143,15 @@ ORACLE = {
         WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS c FROM documents)
         SELECT lang, CASE {" ".join(f"WHEN regexp_matches(c, '^[{chars}]$') THEN '{name}'" for name, chars in SCRIPTS)} ELSE 'en' END AS script, string_agg(c, '' ORDER BY c) AS characters
         FROM c WHERE NOT regexp_matches(c, '^[\\x{{00}}-\\x{{20}}]?$') GROUP BY ALL""",
+    "fitted_lines": f"""
+        WITH c AS (SELECT conv_id, turn, text AS t, CAST((conv_id % 30 + 1) * 100 AS DOUBLE) AS w, CAST(turn % 3 + 9 AS DOUBLE) AS s FROM conversations),
+        u AS (SELECT *, CAST(u AS DOUBLE) AS unit FROM (SELECT *, {_width_sql(PAGE_WIDTHS, 'u')} FROM c)),
+        v AS (SELECT *, w / (unit * s) AS share, unit <= 0 OR unit * s <= w * 1.02::DOUBLE AS asis FROM u),
+        a AS (SELECT *, greatest(s * share, 6) AS one, greatest(s * greatest(sqrt(share), 6 / s), 6) AS root FROM v),
+        b AS (SELECT *, CASE WHEN w / (unit * root) * 100 < 80 AND root > 6 THEN greatest(root * (w / (unit * root) * 100) / 80, 6) ELSE root END AS two FROM a)
+        SELECT conv_id, turn, round(CASE WHEN asis THEN s WHEN conv_id % 2 = 1 OR share >= 0.85 THEN one ELSE two END, 6) AS size,
+               round(CASE WHEN asis OR conv_id % 2 = 1 THEN 100 WHEN share < 0.85 THEN least(100, greatest(w / (unit * two) * 100, 80))
+                          WHEN one <= 6 AND unit * one > w * 1.02::DOUBLE THEN least(100, greatest(w / (unit * one) * 100, 80)) ELSE 100 END, 6) AS scale FROM b""",
     "wrapped_lines": f"""
         WITH RECURSIVE c AS (SELECT conv_id, turn, text, (conv_id % 5 + 1) * 20.0 AS width FROM conversations),
         p AS (SELECT conv_id, turn, width, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS par, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS k FROM c),
