@@ -238,3 +238,20 @@ def test_orphans_meet_the_plain_version(spark):
     expected = {p: plain_merge(own) for p, own in pages.items()}
     assert all(expected[r.page][r.block, r.span_id] == r.into for r in got) and len(got) == rows.count()
     assert sum(r.block != r.into for r in got) > 50
+
+
+def test_orphans_cost_no_group_for_each_page(spark):
+    """Pages that end inside a batch, at its edge and beyond it, in one walk through a partition."""
+    page = [(0, 0, 0.0, 0.0, 50.0, 10.0), (1, 1, 52.0, 0.0, 60.0, 10.0), (2, 2, 90.0, 0.0, 99.0, 10.0)]
+    made = spark.range(400).selectExpr("id AS page", "explode(sequence(0, 2)) AS i")
+    box = [F.element_at(F.array(*[F.lit(p[k]) for p in page]), F.col("i") + 1) for k in range(2, 6)]
+    rows = made.select("page", F.col("i").cast("long").alias("block"), F.col("i").cast("long").alias("span_id"), *[b.alias(n) for b, n in zip(box, ("x1", "y1", "x2", "y2"))],
+                       F.when(F.col("i") < 2, 10.0).alias("size"), F.lit("word").alias("text"), F.lit(False).alias("kept"), F.lit("text").alias("source"), F.lit("text").alias("label"))
+    merged_rows = blocks.merge_orphans(rows.coalesce(1), "page")
+    assert "FlatMapGroups" not in merged_rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.page, r.block): r.into for r in merged_rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(p, b): 0 if b < 2 else 2 for p in range(400) for b in range(3)}

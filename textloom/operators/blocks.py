@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
+from collections.abc import Iterator
 from statistics import median
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,18 +155,23 @@ def line_means(spans: list[tuple]) -> list[float]:
 class _Anchor:
     """A block that may take fragments in; its lines and sizes are looked at again only after it did."""
 
-    def __init__(self, block: int, kind: tuple, spans: list[tuple]):
-        self.block, self.kind, self.right, self.spans = block, kind, max(s[2] for s in spans), spans
+    __slots__ = ("block", "right", "spans", "lines", "size")
+
+    def __init__(self, block: int, spans: list[tuple]):
+        self.block, self.spans = block, spans
+        self.right = spans[0][2] if len(spans) == 1 else max(s[2] for s in spans)
         self.lines: list[float] | None = None
         self.size: float | None = None
 
-    def takes(self, span: tuple, kind: tuple) -> bool:
-        size = span[4] or 0.0
-        if kind != self.kind or not self.right <= span[0] <= self.right + max(GAP[0], size * GAP[1]):
-            return False
-        if self.lines is None:
+    def takes(self, span: tuple) -> bool:
+        """Whether a span that begins close by is at the height of a line and set alike."""
+        if self.lines is None and len(self.spans) == 1:
+            one = self.spans[0]
+            self.lines, self.size = [(one[1] + one[3]) / 2], one[4] or None
+        elif self.lines is None:
             sizes = [s[4] for s in self.spans if s[4]]
             self.lines, self.size = line_means(self.spans), median(sizes) if sizes else None
+        size = span[4] or 0.0
         off = min(abs(y - (span[1] + span[3]) / 2) for y in self.lines)
         alike = self.size is None or abs(self.size - size) <= max(SIZES[0], self.size * SIZES[1])
         return off <= max(BASELINE[0], size * BASELINE[1]) and alike
@@ -174,41 +181,90 @@ class _Anchor:
         self.right, self.lines = max(self.right, span[2]), None
 
 
+def _merged_page(made: dict[int, list[tuple]]) -> dict[int, int]:
+    """The block that each block of a page goes to; ``made`` has the spans of each block by id."""
+    corner = lambda own: (own[0][3], own[0][0]) if len(own) == 1 else (max(s[3] for s in own), min(s[0] for s in own))
+    places = sorted((-round(top, 2), round(left, 2), block) for block, (top, left) in ((block, corner(own)) for block, own in made.items()))
+    anchors: dict[tuple, list[_Anchor]] = {}  # those of each kind, the last one last
+    into = {}
+    for *_, block in places:
+        own = made[block]
+        span = own[0]
+        left, size, words, kept, source, label = span[0], span[4], *span[5:]
+        known = anchors.setdefault((source, label), [])
+        taken = None
+        if len(own) == 1 and not kept and 0 < len((words or "").strip()) <= ORPHAN_CHARS and (label or "").strip().lower() != "table":
+            gap = max(GAP[0], (size or 0.0) * GAP[1])
+            for anchor in reversed(known):
+                if anchor.right <= left <= anchor.right + gap and anchor.takes(span):
+                    taken = anchor
+                    break
+        if taken is None:
+            known.append(_Anchor(block, own))
+            into[block] = block
+        else:
+            taken.add(span)
+            into[block] = taken.block
+    return into
+
+
+def _listed(column: pa.Array) -> list:
+    plain = column.null_count == 0 and not pa.types.is_string(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
+#: Rows of a batch that the fold of fragments gives back.
+FOLD_ROWS = 10_000
+
+
 def merge_orphans(spans: DataFrame, page: str) -> DataFrame:
     """(page, span_id, block, into): the block that each span belongs to once short fragments have gone to the block
     left of them on the same line (O-138). Spans have block, box, size, text, kept, source and label. Blocks come from the
     top, then from the left; a block of one short span looks for the last block before it that ends close by, has
     a line at its height and is set alike; that block then ends where the fragment does and may take in the next. So a
-    page is a fold over its blocks, in the page's group; pages are groups of their own."""
-
-    names = ("x1", "y1", "x2", "y2", "size", "text", "kept", "source", "label")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((rows["span_id"], rows["block"]))
-        made: dict[int, list[tuple]] = {}
-        sizes = rows["size"].astype(object).where(rows["size"].notna(), None)
-        columns = [(sizes if n == "size" else rows[n]).to_numpy()[order].tolist() for n in names]
-        for block, *span in zip(rows["block"].to_numpy()[order].tolist(), *columns):
-            made.setdefault(block, []).append(tuple(span))
-        places = sorted((-round(max(s[3] for s in own), 2), round(min(s[0] for s in own), 2), block) for block, own in made.items())
-        anchors: list[_Anchor] = []
-        into = {}
-        for *_, block in places:
-            own = made[block]
-            *_, words, kept, source, label = own[0]
-            stray = len(own) == 1 and (label or "").strip().lower() != "table" and not kept and 0 < len((words or "").strip()) <= ORPHAN_CHARS
-            anchor = next((a for a in reversed(anchors) if a.takes(own[0], (source, label))), None) if stray else None
-            if anchor is None:
-                anchors.append(_Anchor(block, (source, label), own))
-                into[block] = block
-            else:
-                anchor.add(own[0])
-                into[block] = anchor.block
-        return pd.DataFrame({page: rows[page], "span_id": rows["span_id"], "block": rows["block"], "into": rows["block"].map(into)})
+    page is a fold over its blocks. Pages lie in their partition one after the other, and the fold walks through them:
+    a group of its own for each page costs more than its fold."""
 
+    names = (page, "block", "span_id", "x1", "y1", "x2", "y2", "size", "text", "kept", "source", "label")
     kinds = {f.name: f.dataType for f in spans.schema.fields}
     schema = T.StructType([T.StructField(n, kinds[n]) for n in (page, "span_id", "block")] + [T.StructField("into", kinds["block"])])
-    return spans.groupBy(page).applyInPandas(fold, schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made_of: pa.Schema | None = None
+        out: tuple[list, ...] = ([], [], [], [])
+
+        def emit() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, made_of)], schema.names)
+            for v in out:
+                v.clear()
+            return batch
+
+        def rows() -> Iterator[tuple]:
+            nonlocal made_of
+            for batch in batches:
+                kind = batch.schema.field
+                made_of = [kind(n).type for n in (page, "span_id", "block", "block")]
+                yield from zip(*(_listed(batch.column(n)) for n in names))
+
+        for key, group in itertools.groupby(rows(), operator.itemgetter(0)):
+            made: dict[int, list[tuple]] = {}
+            held = []
+            for _, block, span_id, *span in group:
+                made.setdefault(block, []).append(tuple(span))
+                held.append((span_id, block))
+            into = _merged_page(made)
+            out[0].extend([key] * len(held))
+            out[1].extend(s for s, _ in held)
+            out[2].extend(b for _, b in held)
+            out[3].extend(into[b] for _, b in held)
+            if len(out[0]) >= FOLD_ROWS:
+                yield emit()
+        if out[0]:
+            yield emit()
+
+    nan = F.lit(float("nan"))
+    boxed = spans.withColumns({**{n: F.coalesce(F.col(n).cast("double"), nan) for n in ("x1", "y1", "x2", "y2")}, "size": F.nanvl("size", F.lit(None).cast("double"))})
+    return boxed.select(*names).repartition(page).sortWithinPartitions(page, "block", "span_id").mapInArrow(walk, schema)
 
 
 def paragraphs(spans: DataFrame, keys: list[str]) -> DataFrame:
