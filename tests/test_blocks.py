@@ -255,3 +255,22 @@ def test_orphans_cost_no_group_for_each_page(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(p, b): 0 if b < 2 else 2 for p in range(400) for b in range(3)}
+
+
+@pytest.mark.parametrize("name", ["cell_boxes", "grid_split"])
+def test_axes_of_a_span_are_found_once(spark, name):
+    from textloom.plans import block_plans
+
+    plan = block_plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
+
+
+def test_axes_of_a_batch_of_spans():
+    import numpy as np
+
+    row, at = grids.merged(np.array([2, 0, 0, 2, 0]), np.array([5.0, 10.0, 1.0, 6.0, 2.0]))
+    assert row.tolist() == [0, 0, 2] and at.tolist() == [1.5, 10.0, 5.5]
+    stretches = grids.intervals(row, at)
+    assert [v.tolist() for v in stretches] == [[0], [1.5], [10.0]]
+    low, high = grids._first(stretches, np.array([4.0, 4.0, 5.5]))
+    assert (low[0], high[0]) == (1.5, 10.0) and np.isnan(low[1:]).all()

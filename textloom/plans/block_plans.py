@@ -64,10 +64,9 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rulings(items: DataFrame) -> DataFrame:
-    out = items.selectExpr(*_WALL).unionByName(items.selectExpr(*_FLOOR))
-    for side in _FRAME:
-        out = out.unionByName(items.where("n = 1").selectExpr(*side))
-    return out
+    own = [f"struct({', '.join(e[1:])})" for e in (_WALL, _FLOOR)]
+    frame = [f"struct({', '.join(e[1:])})" for e in _FRAME]
+    return items.selectExpr("page", f"inline(IF(n = 1, array({', '.join(own + frame)}), array({', '.join(own)})))")
 
 
 def block_modes(spark: SparkSession, sf: str) -> DataFrame:
