@@ -63,3 +63,18 @@ def test_what_fits_keeps_its_size(spark):
     assert fit("ppt skills for docs and slides", 20.0, False) == (6.0, 100.0)
     size, scale = fit("ppt skills for docs and slides", 20.0, True)
     assert size == 6.0 and scale == 80.0
+
+
+def test_long_texts_are_wrapped_in_one_walk(spark):
+    """60,000 tokens in one text, one of them far wider than its line."""
+    words = " ".join(f"word{i % 97}" for i in range(60_000)) + " " + "界x" * 20_000
+    df = spark.createDataFrame([(words,), ("a\n\n b",), (None,), ("",), ("  \nend  ",)], "t string")
+    got = [r.l for r in df.select(wp.wrap(F.col("t"), F.lit(100.0), F.lit(10.0)).alias("l")).collect()]
+    assert "".join(got[0]).replace(" ", "") == words.replace(" ", "") and len(got[0]) > 20_000
+    assert got[1:] == [["a", "", "b"], None, [""], ["end"]]
+
+
+def test_widths_are_those_of_the_expression(spark):
+    chars = [chr(p) for p in (*range(0x20, 0x600), *range(0x980, 0xA00), 0x1780, 0x1C80, 0x1E01, 0x2DE1, 0x3000, 0x3001, 0x3042, 0x31F1, 0x4E00, 0xA641, 0xAC00, 0xFF01, 0xFF66, 0xFFEF, 0x20001, 0x1F600)]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", visual_length(F.col("c"), PAGE_WIDTHS).alias("w")).collect()
+    assert [r.w for r in rows] == wp._units([r.c for r in rows])
