@@ -337,3 +337,17 @@ def test_pii_chain_of_overlaps_keeps_both_ends(spark):
     df = spark.createDataFrame(rows, "spans array<struct<kind:string,start:long,end:long,score:double>>")
     got = [sorted((s.start, s.end) for s in r[0]) for r in df.select(pii.apart(F.col("spans"))).collect()]
     assert got == [[(0, 10), (18, 30)], [(4, 9)], []]
+
+
+def test_encoding_and_decoding_share_a_worker(spark):
+    rows = [(1, "one two  three"), (2, None), (3, ""), (4, "naïve 漢字 it's")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    two = bpe.decode(bpe.encode(df, queries.TOKENIZER), queries.TOKENIZER).drop("text").collect()
+    assert sorted(bpe.round_trip(df, queries.TOKENIZER).collect()) == sorted(two)
+    assert queries.encoded(df)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    words = bpe.Vocabulary(queries.TOKENIZER)
+    ids = words.encode([pa.array(["a b"])])[0]
+    assert words.decode(ids[0], ids[1])[0].tobytes() == b"a b"
+    fresh = bpe.Vocabulary(queries.TOKENIZER)
+    fresh.decode(ids[0], ids[1])
+    assert "pairs" not in vars(fresh)  # decoding holds no pairs

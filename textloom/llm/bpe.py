@@ -16,6 +16,7 @@ have the name of an output column, which then replaces them.
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import heapq
@@ -118,13 +119,13 @@ class Vocabulary:
         self.offset = np.concatenate([[0], np.cumsum(self.length)])
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self._pairs()
         self.words: dict[bytes, int] = {}
         self.forget()
 
-    def _pairs(self) -> None:
-        """Every pair of ids that merges, as left << 20 | right, sorted, with the rank of its merge."""
-        keys, ranks = [], []
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every pair of ids that merges, as left << 20 | right, sorted, and the rank of its merge. Decoding needs none."""
+        keys, ranks = array.array("q"), array.array("q")
         get = self.ranks.get
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -132,15 +133,20 @@ class Vocabulary:
                 if left is not None and right is not None:
                     keys.append(left << _SHIFT | right)
                     ranks.append(rank)
-        order = np.argsort(np.array(keys, np.int64))
-        self.pair_keys = np.array(keys, np.int64)[order]
-        self.pair_ranks = np.array(ranks, np.int64)[order]
-        self.merged = dict(zip(keys, ranks))
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        return np.frombuffer(keys, np.int64)[order], np.frombuffer(ranks, np.int64)[order]
+
+    @functools.cached_property
+    def merged(self) -> dict[int, int]:
+        """The same pairs by key, for odd words."""
+        keys, ranks = self.pairs
+        return dict(zip(keys.tolist(), ranks.tolist()))
 
     def ranks_of(self, keys: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge, or -1."""
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+        known, ranks = self.pairs
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, ranks[at], -1)
 
     def forget(self) -> None:
         self.words.clear()
@@ -320,17 +326,27 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() != name.lower()] + [T.StructField(name, kind)])
 
 
+def _encoded(words: Vocabulary, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Slabs of the batches with their ids."""
+    for portion in portions(batches, text):
+        for slab, (found, at) in zip(portion, words.encode([x.column(text) for x in portion])):
+            yield slab, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found))
+
+
+def _decoded(words: Vocabulary, ids: pa.Array) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(False))])
+    data, out_at = words.decode(ids.flatten().to_numpy(False).astype(np.int64), at.astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(out_at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` (array of int): the text's tokens by the rank file at ``path``."""
     schema = _with(df.schema, ids, T.ArrayType(T.IntegerType(), False))
     keep = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        for portion in portions(batches, text):
-            for slab, (found, at) in zip(portion, words.encode([x.column(text) for x in portion])):
-                column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found))
-                yield pa.RecordBatch.from_arrays([slab.column(k) for k in keep] + [column], [*keep, ids])
+        for slab, column in _encoded(vocabulary(path), batches, text):
+            yield pa.RecordBatch.from_arrays([slab.column(k) for k in keep] + [column], [*keep, ids])
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -346,13 +362,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                column = part.column(ids)
-                at = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(False))])
-                data, out_at = words.decode(column.flatten().to_numpy(False).astype(np.int64), at.astype(np.int64))
-                binary = pa.Array.from_buffers(
-                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(out_at.astype(np.int64)), pa.py_buffer(data)]
-                ).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [binary], [*keep, decoded])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [_decoded(words, part.column(ids))], [*keep, decoded])
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` without its text, with ``ids`` and the bytes that they decode to. Both steps share a worker and its
+    vocabulary; one after the other they hold a worker each for every running task."""
+    kinds = _with(_with(df.schema, ids, T.ArrayType(T.IntegerType(), False)), decoded, T.BinaryType())
+    schema = T.StructType([f for f in kinds.fields if f.name != text])
+    keep = [f.name for f in schema.fields[:-2]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path)
+        for slab, column in _encoded(words, batches, text):
+            yield pa.RecordBatch.from_arrays([*(slab.column(k) for k in keep), column, _decoded(words, column)], [*keep, ids, decoded])
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -35,8 +35,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the bytes that they decode to."""
-    ids = bpe.encode(docs.select("doc_id", "text"), TOKENIZER).drop("text")
-    return bpe.decode(ids, TOKENIZER).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), TOKENIZER).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
