@@ -274,3 +274,13 @@ def test_axes_of_a_batch_of_spans():
     assert [v.tolist() for v in stretches] == [[0], [1.5], [10.0]]
     low, high = grids._first(stretches, np.array([4.0, 4.0, 5.5]))
     assert (low[0], high[0]) == (1.5, 10.0) and np.isnan(low[1:]).all()
+
+
+def test_lines_of_blocks_need_no_join(spark):
+    """Spans go through the fold of their page whole: block modes deal the spans by page once and never again."""
+    rows = [(p, i, 50.0, 700.0 - 12 * i, 200.0, 709.0 - 12 * i, 10.0, f"words {i}", i, "text", 50.0, 260.0) for p in range(20) for i in range(4)]
+    df = spark.createDataFrame(rows, "page long, span_id long, x1 double, y1 double, x2 double, y2 double, size double, text string, textbox long, label string, bx1 double, bx2 double")
+    found = blocks.block_modes(df, ["page"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert found.count() == 20

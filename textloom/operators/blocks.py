@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import operator
 from collections.abc import Iterator
@@ -43,10 +44,13 @@ def _centre() -> Column:
 
 
 def _lined(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """``spans`` with their centre ``cy`` and their line from the top."""
-    rows = spans.withColumn("cy", _centre())
-    lines = attached_lines(rows.select(*keys, "span_id", "x1", "x2", "cy", F.coalesce("size", F.lit(0.0)).alias("size"), "text"), keys)
-    return rows.join(lines.select(*keys, "span_id", "line"), [*keys, "span_id"])
+    """``spans`` with their centre ``cy`` and their line from the top. They go through the fold of their page whole, so that
+    they stay dealt by page and all that follows needs no shuffle."""
+    known = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in (*keys, "span_id")])
+    rows = spans.where(known).withColumn("cy", _centre())
+    rest = F.struct(*[c for c in rows.columns if c not in keys]).alias("rest")
+    lines = attached_lines(rows.select(*keys, "span_id", "x1", "x2", "cy", F.coalesce("size", F.lit(0.0)).alias("size"), "text", rest), keys, ("rest",))
+    return lines.select(*keys, "rest.*", "line")
 
 
 def _ordered(text: str, *order: str) -> Column:
@@ -58,36 +62,29 @@ def block_modes(spans: DataFrame, keys: list[str], profile: str = "balanced", la
     size, text, textbox, the block's label and its sides bx1, bx2. Lines are scored by the spread of their widths, left
     edges and gaps; a wide step between left edges with two lines on both sides is a second column. Notes that start
     with a bracket and short texts of one box are whole whatever their lines look like."""
-    rows = _lined(spans, keys)
-    line = Window.partitionBy(*keys, "line")
-    rows = rows.withColumn("line_cy", (F.min("y1").over(line) + F.max("y2").over(line)) / 2)
-    rows = rows.withColumn("first_cy", F.max("line_cy").over(Window.partitionBy(*keys)))
-    head = F.abs(F.col("cy") - F.col("first_cy")) <= NOTE_REACH
+    rows = _lined(spans, keys).withColumn("down", -F.col("cy"))
     sized = F.when(F.col("size") > 0, F.col("size"))
-    blocks = rows.withColumn("down", -F.col("cy")).withColumn("head", F.when(head, F.col("text"))).groupBy(*keys).agg(
-        F.max("label").alias("label"),
-        F.count(F.lit(1)).alias("spans"),
-        F.count_distinct("textbox").alias("boxes"),
-        (F.max(sized) / F.min(sized)).alias("ratio"),
-        F.greatest(F.max("bx2") - F.min("bx1"), F.lit(0.0)).alias("wide"),
-        strip(_ordered("head", "down", "x1", "span_id")).alias("head"),
-    )
     lines = rows.groupBy(*keys, "line").agg(
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("y2").alias("y2"), F.max("x2").alias("x2"),
         F.length(strip(_ordered("text", "x1", "span_id"))).alias("chars"),
+        F.collect_list(F.struct("down", "x1", "span_id", F.coalesce("text", F.lit("")).alias("t"))).alias("own"),
+        F.max("label").alias("label"), F.count(F.lit(1)).alias("spans"), F.collect_set("textbox").alias("boxes"),
+        F.max(sized).alias("largest"), F.min(sized).alias("smallest"), F.max("bx2").alias("bx2"), F.min("bx1").alias("bx1"),
     )
-    down, across = Window.partitionBy(*keys).orderBy(F.desc("cy"), "line"), Window.partitionBy(*keys).orderBy("x1", "line")
+    block, down, across = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("cy"), "line"), Window.partitionBy(*keys).orderBy("x1", "line")
     lines = lines.withColumns({"cy": _centre(), "width": F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0))})
     lines = lines.withColumns(
         {
             "number": F.row_number().over(down),
             "gap": F.when(F.lag("y1").over(down).isNotNull(), F.greatest(F.lag("y1").over(down) - F.col("y1"), F.lit(0.0))),
             "step": F.struct((F.col("x1") - F.lag("x1").over(across)).alias("by"), (1 - F.row_number().over(across)).alias("left")),
+            "wide": F.greatest(F.max("bx2").over(block) - F.min("bx1").over(block), F.lit(0.0)),
+            "first_cy": F.max("cy").over(block),
         }
     )
-    lines = lines.join(blocks.select(*keys, "wide"), keys)
+    lines = lines.withColumn("own", F.filter("own", lambda s: F.abs(-s["down"] - F.col("first_cy")) <= NOTE_REACH))
     share = F.col("width") / F.nullif("wide", F.lit(0.0))
-    stats = lines.groupBy(*keys).agg(
+    found = lines.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lines"),
         F.median("width").alias("median"),
         F.avg((F.col("width") < F.col("wide") * SHORT_LINE).cast("double")).alias("short"),
@@ -100,8 +97,13 @@ def block_modes(spans: DataFrame, keys: list[str], profile: str = "balanced", la
         F.max(F.when(F.col("number") == 1, share)).alias("first"),
         F.min(F.when(F.col("number") > 1, share)).alias("rest"),
         F.bool_or((F.col("chars") <= TINY_CHARS) & (share < TINY_WIDTH)).alias("tiny"),
+        F.max("wide").alias("wide"),
+        F.max("label").alias("label"),
+        F.sum("spans").alias("spans"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("boxes")))).alias("boxes"),
+        (F.max("largest") / F.min("smallest")).alias("ratio"),
+        strip(F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("own"))), lambda s: s["t"]), "")).alias("head"),
     )
-    found = stats.join(blocks, keys)
     c = F.col
     few = c("lines").between(*NOTE_LINES)
     note = few & c("head").rlike(NOTE) & (c("first") >= NOTE_FIRST) & (c("rest") >= NOTE_REST)
