@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import layout as lo
+from textloom.operators.dealing import dealt
 
 _LABELS = "('text','table','image','header','number','reference','reference_content','inline_formula')"
 _SPAN = (
@@ -23,12 +24,14 @@ _REGION = (
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_SPAN)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return dealt(rows.selectExpr(*_SPAN), "page", rows=rows.count())
 
 
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
     exprs = [e.replace("{labels}", _LABELS) for e in _REGION]
-    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*exprs)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return dealt(rows.selectExpr(*exprs), "page", rows=rows.count())
 
 
 def overlap_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +40,7 @@ def overlap_match(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("cover", F.round("cover", 9))
 
 
-# One row per key, so that repeated line items do not make ties.
+# One row per key, so that repeated line items do not make ties. Pages are dealt first: no step after it shuffles.
 def _boxes(spark: SparkSession, sf: str) -> DataFrame:
     return _spans(spark, sf).groupBy("page", "span_id").agg(*[F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2", "size", "colour", "face", "text")])
 
