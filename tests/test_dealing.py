@@ -1,10 +1,12 @@
 """Tasks of bounded size: rows dealt by key over as many tasks as they fill, Arrow batches bounded by bytes."""
 
+import random
 import re
 
 import pytest
 
 from textloom.operators import dealing
+from textloom.operators import office as of
 from textloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +17,7 @@ def shuffles(df):
     return plan, re.findall(r"Exchange (\w+)\(.*?(\d+)\), (\w+)", plan)
 
 
-@pytest.mark.parametrize("name", ["axis_merge", "axis_intervals", "rect_union", "dominant_style", "preserve_blocks"])
+@pytest.mark.parametrize("name", ["axis_merge", "axis_intervals", "rect_union", "dominant_style", "preserve_blocks", "table_flatten"])
 def test_tasks_grow_in_number_and_not_in_size(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     monkeypatch.setattr(dealing, "TASK_ROWS", rows // 11)
@@ -30,3 +32,22 @@ def test_tasks_grow_in_number_and_not_in_size(spark, monkeypatch, name):
 def test_no_fewer_tasks_than_cores(spark):
     df = spark.range(100)
     assert dealing.dealt(df, "id", rows=100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("rows", [None, 500])
+def test_nested_tables_by_hand(spark, rows):
+    dice = random.Random(6)
+    tables = []
+    for doc in range(50):
+        for t in range(10):
+            parent = dice.choice([None, *range(t), 99, 9])
+            tables.append((doc, t, parent, dice.randrange(5)))
+    tables += [(50, 0, None, 1), (50, 0, None, 2), (50, 1, 0, 3), (None, 0, None, 4), (None, 1, 0, 4)]
+    out, level = [], [(d, t, i, 0) for d, t, p, i in tables if p is None]
+    for n in range(1, 4):
+        out += level
+        level = [(d, t, (e + 1) * 1000 + i, n) for d, t, p, i in tables for dd, pt, e, _ in level if p is not None and d is not None and (d, p) == (dd, pt)]
+    out += level
+    df = spark.createDataFrame(tables, "doc long, table_id long, parent long, idx long")
+    key = lambda r: [(v is None, v or 0) for v in r]
+    assert sorted(map(tuple, of.flatten_tables(df, rows=rows).collect()), key=key) == sorted(out, key=key)
