@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.operators import batches as bt
 from textloom.operators import dealing
 from textloom.operators import layout as lo
 from textloom.operators import office as of
@@ -18,7 +20,7 @@ def shuffles(df):
     return plan, re.findall(r"Exchange (\w+)\(.*?(\d+)\), (\w+)", plan)
 
 
-@pytest.mark.parametrize("name", ["axis_merge", "axis_intervals", "rect_union", "dominant_style", "preserve_blocks", "table_flatten", "layout_filter"])
+@pytest.mark.parametrize("name", ["axis_merge", "axis_intervals", "rect_union", "dominant_style", "preserve_blocks", "table_flatten", "layout_filter", "batch_calls"])
 def test_tasks_grow_in_number_and_not_in_size(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     monkeypatch.setattr(dealing, "TASK_ROWS", rows // 11)
@@ -86,3 +88,20 @@ def test_nested_tables_by_hand(spark, rows):
     df = spark.createDataFrame(tables, "doc long, table_id long, parent long, idx long")
     key = lambda r: [(v is None, v or 0) for v in r]
     assert sorted(map(tuple, of.flatten_tables(df, rows=rows).collect()), key=key) == sorted(out, key=key)
+
+
+def test_calls_by_hand(spark):
+    rows = [
+        (1, 0, "alpha beta same", "txt"), (1, 1, "  ", "txt"), (1, 2, "alpha beta other", "txt"), (1, 3, None, "txt"), (1, 4, "alpha beta stays", "txt"),
+        (2, 0, "alpha beta same", "docx"), (3, 0, " ", "txt"), (4, 0, "x", None),
+    ]
+    df = spark.createDataFrame(rows, "batch long, index long, text string, hint string").withColumns({"source": F.lit("en"), "target": F.lit("fr")})
+    first = lambda t: F.when(t.rlike("same|stays"), F.concat(F.lit(" "), t)).otherwise(F.concat(F.lit("T:"), t))
+    again = lambda t: F.when(t.rlike("stays"), t).otherwise(F.concat(F.lit("R:"), t))
+    got = bt.call_batches(df, "batch", first, again, lambda t: F.length(t).cast("long"))
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 0, "R:alpha beta same", 0, True, 78), (1, 1, "  ", None, False, 78), (1, 2, "T:alpha beta other", 1, False, 78), (1, 3, None, None, False, 78),
+        (1, 4, " alpha beta stays", 2, True, 78), (2, 0, " alpha beta same", 0, False, 15), (3, 0, " ", None, False, None), (4, 0, "T:x", 0, False, 1),
+    ]
+    plan, _ = shuffles(got)
+    assert "Join" not in plan

@@ -193,16 +193,21 @@ def unchanged_needs_retry(source: Column, translated: Column, source_language: C
         text = F.regexp_replace(text, r"(?i)\[(?:PARA|SLIDE|SHAPE|TABLE|CELL|ROW|NOTE|HEADER|FOOTER)[^\]]*\]", " ")
         return strip(F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:span|p)>", " "), r"⟪PF_[^⟫]+⟫", " "))
 
-    seen, code, target = visible(source), language_code(source_language), language_code(target_language)
-    cjk = F.regexp_count(seen, F.lit(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"))
-    words = F.regexp_count(seen, F.lit("[A-Za-z]{2,}"))
-    missed = (
-        F.when(target.isin("zh-CN", "zh-TW", "zh-HK"), (cjk == 0) & (words >= 2))
-        .when(target == "en", cjk >= 2)
-        .otherwise((code == "en") & target.isin("fr", "de", "es", "ru", "vi") & (words >= 2))
-    )
-    same = (seen != "") & (collapse(seen) == collapse(visible(translated)))
-    return same & ~((code != "") & (code == target)) & missed
+    code, target = language_code(source_language), language_code(target_language)
+
+    def of_seen(seen: Column) -> Column:
+        cjk = F.regexp_count(seen, F.lit(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"))
+        words = F.regexp_count(seen, F.lit("[A-Za-z]{2,}"))
+        missed = (
+            F.when(target.isin("zh-CN", "zh-TW", "zh-HK"), (cjk == 0) & (words >= 2))
+            .when(target == "en", cjk >= 2)
+            .otherwise((code == "en") & target.isin("fr", "de", "es", "ru", "vi") & (words >= 2))
+        )
+        # Texts that are equal as they stand are so as they are seen.
+        same = (seen != "") & F.when(source == translated, F.lit(True)).otherwise(collapse(seen) == collapse(visible(translated)))
+        return same & ~((code != "") & (code == target)) & missed
+
+    return let(visible(source), of_seen)
 
 
 # Width of characters, in the order in which the classes are tried.

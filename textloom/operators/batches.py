@@ -42,8 +42,8 @@ def usage_sum(a: Column, b: Column) -> Column:
 
 def call_batches(
     texts: DataFrame, batch: str, first: Callable[[Column], Column], again: Callable[[Column], Column], usage: Callable[[Column], Column]
-) -> tuple[DataFrame, DataFrame]:
-    """Answers of each text (batch, index, text, position, retried), and usage of each batch (O-60). ``texts``: batch,
+) -> DataFrame:
+    """Answers of each text (batch, index, text, position, retried) with the usage of its batch (O-60). ``texts``: batch,
     index, text, source, target, hint. Blank texts pass through; the others are numbered anew (position); texts
     that came back unchanged are asked once more, but for word documents, and keep the first answer if that is
     unchanged too."""
@@ -54,16 +54,15 @@ def call_batches(
     rows = rows.withColumn("__first", F.when(~F.col("__blank"), first(F.col("text"))))
     unchanged = lambda answer: unchanged_needs_retry(F.col("text"), answer, F.col("source"), F.col("target"))
     retried = ~F.col("__blank") & ~F.startswith("hint", F.lit("docx")) & unchanged(F.col("__first"))
-    rows = rows.withColumn("retried", F.coalesce(retried, F.lit(False)))
+    # In a row of its own, since the columns below would each judge the answer again.
+    rows = rows.select("*", F.explode(F.array(F.coalesce(retried, F.lit(False)))).alias("retried"))
     rows = rows.withColumn("__again", F.when(F.col("retried"), again(F.col("text"))))
     better = F.col("retried") & ~unchanged(F.col("__again"))
     answer = F.when(F.col("__blank"), F.col("text")).when(better, F.col("__again")).otherwise(F.col("__first"))
     rows = rows.withColumn("answer", answer)
-    spent = rows.groupBy(batch).agg(
-        F.sum(F.when(~F.col("__blank"), usage(F.col("text")))).alias("__one"), F.sum(F.when(F.col("retried"), usage(F.col("text")))).alias("__two")
-    )
-    total = spent.select(batch, usage_sum(F.col("__one"), F.col("__two")).alias("usage"))
-    return rows.select(batch, "index", F.col("answer").alias("text"), "position", "retried"), total
+    spent = lambda asked: F.sum(F.when(asked, usage(F.col("text")))).over(Window.partitionBy(batch))
+    total = usage_sum(spent(~F.col("__blank")), spent(F.col("retried")))
+    return rows.select(batch, "index", F.col("answer").alias("text"), "position", "retried", total.alias("usage"))
 
 
 def attempts(outcomes: DataFrame, call: str, retries: int, delay: float) -> DataFrame:

@@ -12,6 +12,7 @@ from textloom.operators import inventory as inv
 from textloom.operators import jobs as jb
 from textloom.operators import layout as lo
 from textloom.operators import tables as tb
+from textloom.operators.dealing import dealt
 from textloom.plans.jobs_plans import _C, _current
 from textloom.plans.layout_plans import _BASE, _boxes
 
@@ -130,7 +131,9 @@ def indexed_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = _table(spark, sf, "lineitem").withColumn("index", (F.row_number().over(order) - 1).cast("long"))
+    items = _table(spark, sf, "lineitem")
+    rows = dealt(items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", rows=items.count())
+    rows = rows.withColumn("index", (F.row_number().over(order) - 1).cast("long"))
     text = F.when(F.col("l_partkey") % 6 == 0, "   ").otherwise(F.concat(F.lit("alpha beta "), F.col("l_partkey").cast("string")))
     hint = F.when(F.col("l_orderkey") % 4 == 0, "docx").otherwise("txt")
     return rows.select(F.col("l_orderkey").alias("batch"), "index", text.alias("text"), F.lit("en").alias("source"), F.lit("fr").alias("target"), hint.alias("hint"))
@@ -140,8 +143,7 @@ def batch_calls(spark: SparkSession, sf: str) -> DataFrame:
     """O-60: a translator that leaves half of the texts unchanged, and some of them again; answers and usage."""
     first = lambda t: F.when(t.rlike("[0-4]$"), t).otherwise(F.concat(F.lit("T:"), t))
     again = lambda t: F.when(t.rlike("[02]$"), t).otherwise(F.concat(F.lit("R:"), t))
-    answers, usage = bt.call_batches(_requests(spark, sf), "batch", first, again, lambda t: F.length(t).cast("long"))
-    return answers.join(usage, "batch")
+    return bt.call_batches(_requests(spark, sf), "batch", first, again, lambda t: F.length(t).cast("long"))
 
 
 def call_attempts(spark: SparkSession, sf: str) -> DataFrame:
