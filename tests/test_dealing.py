@@ -10,6 +10,7 @@ from textloom.operators import batches as bt
 from textloom.operators import dealing
 from textloom.operators import layout as lo
 from textloom.operators import office as of
+from textloom.operators import segments as sg
 from textloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def shuffles(df):
     return plan, re.findall(r"Exchange (\w+)\(.*?(\d+)\), (\w+)", plan)
 
 
-@pytest.mark.parametrize("name", ["axis_merge", "axis_intervals", "rect_union", "dominant_style", "preserve_blocks", "table_flatten", "layout_filter", "batch_calls"])
+@pytest.mark.parametrize("name", ["axis_merge", "axis_intervals", "rect_union", "dominant_style", "preserve_blocks", "layout_filter", "table_flatten", "batch_calls"])
 def test_tasks_grow_in_number_and_not_in_size(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     monkeypatch.setattr(dealing, "TASK_ROWS", rows // 11)
@@ -37,6 +38,18 @@ def test_no_fewer_tasks_than_cores(spark):
     assert dealing.dealt(df, "id", rows=100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_segmentation_bounds_its_batches_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        sg.segment_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+        assert int(spark.conf.get(name)) <= dealing.BATCH_BYTES
+    finally:
+        if had is not None:
+            spark.conf.set(name, had)
+
+
 def gone_by_hand(boxes):
     area = lambda b: (b[4] - b[2]) * (b[5] - b[3])
     gone = set()

@@ -15,9 +15,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch between the JVM and Python: both sides hold a few for each running task.
-BATCH_BYTES = 2 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+from textloom.operators.dealing import small_batches  # noqa: F401
+
 _owner: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("textloom-owner", default=None)
 
 
@@ -33,12 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes; the default lets 10,000 long texts through at once."""
-    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 @contextlib.contextmanager
 def owned() -> Iterator[list[str]]:
     """The list of the tables written inside the block, by this thread or task."""

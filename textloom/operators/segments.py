@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.arrays import let
 from textloom.functions.text import SPACE, strip, tokens_weighted
+from textloom.operators.dealing import small_batches
 
 BLANK_SEPARATOR = r"(?:\r?\n)[ \t]*(?:\r?\n)+"
 # A sentence ends after one of these, before white space or the end.
@@ -204,7 +205,9 @@ def restore(text: Column, spans: Column, translated: Column) -> Column:
 
 
 def segment_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``spans``, ``tokens`` and ``batch`` arrays. Offsets are the running sum of the pieces' lengths."""
+    """``df`` with ``spans``, ``tokens`` and ``batch`` arrays. Offsets are the running sum of the pieces' lengths. A worker
+    needs some thirty bytes for each byte of a batch, so batches are bounded by bytes."""
+    small_batches(df.sparkSession)
     new = [T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("batch", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([*df.schema.fields, *new])
     own, names = df.columns, schema.names
