@@ -206,7 +206,7 @@ def restore(text: Column, spans: Column, translated: Column) -> Column:
 
 def segment_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``spans``, ``tokens`` and ``batch`` arrays. Offsets are the running sum of the pieces' lengths. A worker
-    needs some thirty bytes for each byte of a batch, so batches are bounded by bytes."""
+    holds running sums over the bytes of a batch, so batches are bounded by bytes."""
     small_batches(df.sparkSession)
     new = [T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("batch", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([*df.schema.fields, *new])
