@@ -265,6 +265,29 @@ def test_axes_of_a_span_are_found_once(spark, name):
     assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
 
 
+def test_spans_are_dealt_before_their_characters_are_made(spark, monkeypatch):
+    """The split of spans shuffles the items once, as numbers, over tasks of bounded size; pages without rulings give nothing."""
+    import re
+
+    from textloom.operators import dealing
+    from textloom.plans import block_plans
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(dealing, "TASK_ROWS", spark.read.parquet(f"{sf}/lineitem.parquet").count() // 11)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = block_plans.QUERIES["grid_split"](spark, sf)
+        assert found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan.split("Initial Plan")[0]
+    assert set(re.findall(r"Exchange (\w+)\(.*?(\d+)\), (\w+)", final)) == {("hashpartitioning", "12", "REPARTITION_BY_NUM")}
+    assert final.count("ReusedExchange") == 1 and final.count("Exchange hashpartitioning") == 2
+    chars = letters("Mine", 10, 50) + letters("2000", 82, 50, 4)
+    assert len(parts(spark, chars, [(x, 0, 100) for x in (0, 80, 100, 120)])) == 2 and parts(spark, chars, []) == []
+
+
 def test_axes_of_a_batch_of_spans():
     import numpy as np
 

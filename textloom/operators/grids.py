@@ -123,11 +123,11 @@ def over_columns(width: Column, left: Column, right: Column, size: Column, x1: C
 _SPAN = ("x1", "y1", "x2", "y2", "size", "t_x1", "t_y1", "t_x2", "t_y2")
 
 
-def _with_rulings(spans: DataFrame, rulings: DataFrame, page: str, *more: str) -> DataFrame:
+def _with_rulings(spans: DataFrame, rulings: DataFrame, page: str, *more: str, how: str = "left") -> DataFrame:
     """Spans with their page's rulings (arrays ``__vs`` and ``__hs``)."""
     box = F.struct(*[F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")])
     drawn = rulings.groupBy(page).agg(*[F.collect_list(F.when(F.col("direction") == d, box)).alias(f"__{d}s") for d in "vh"])
-    rows = spans.join(drawn, page, "left")
+    rows = spans.join(drawn, page, how)
     none = F.expr("cast(array() as array<struct<x1:double,y1:double,x2:double,y2:double>>)")
     own = [F.col(k).cast("double").alias(k) for k in _SPAN]
     return rows.select(page, "span_id", *own, *more, *[F.coalesce(f"__{d}s", none).alias(f"__{d}s") for d in "vh"])
@@ -237,7 +237,8 @@ def grid_split(spans: DataFrame, rulings: DataFrame, page: str) -> DataFrame:
     have some. ``part`` counts the columns with characters from 0; those with blanks alone leave their number out."""
     kind = "array<struct<char:string,x1:double,y1:double,x2:double,y2:double>>"
     spans = spans.withColumn("chars", F.coalesce(F.col("chars").cast(kind), F.expr(f"cast(array() as {kind})")))
-    rows = _with_rulings(spans, rulings, page, "chars")
+    # A page without rulings splits no span, and with an inner join both sides may come from one shuffle.
+    rows = _with_rulings(spans, rulings, page, "chars", how="inner")
     found = ("x1", "y1", "x2", "y2", "__left", "__right", "__bottom", "__top")
     schema = _kinds(rows, (page, "span_id"), text=T.StringType(), part=T.LongType(), **dict.fromkeys(found, T.DoubleType()))
 

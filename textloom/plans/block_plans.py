@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import blocks as bl
 from textloom.operators import grids as gr
+from textloom.operators.dealing import dealt
 
 # Expressions that Spark and DuckDB read alike. An item has its page, number n on it, and numbers p, s, q to draw from.
 _ITEM = (
@@ -63,6 +64,14 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*_ITEM)
 
 
+def _dealt_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The items, dealt by page while they are a few numbers each. Pages get their name above the window that counts, so that
+    Spark knows them as dealt and sorted, and what is drawn on them is not dealt again."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    own = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return dealt(own, "l_orderkey", rows=items.count()).selectExpr("l_orderkey", *_ITEM[1:]).withColumnRenamed("l_orderkey", "page")
+
+
 def _rulings(items: DataFrame) -> DataFrame:
     own = [f"struct({', '.join(e[1:])})" for e in (_WALL, _FLOOR)]
     frame = [f"struct({', '.join(e[1:])})" for e in _FRAME]
@@ -96,7 +105,7 @@ def cell_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 def grid_split(spark: SparkSession, sf: str) -> DataFrame:
     """O-135: spans over several columns, with a gap after five characters."""
-    items = _items(spark, sf)
+    items = _dealt_items(spark, sf)
     spans = items.selectExpr(*_GRID_SPAN).withColumn("w", (F.col("x2") - F.col("x1")) / F.length("text"))
 
     def char(c, i):
